@@ -1,15 +1,20 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip).
 
 1. Texts with equal n-gram sets form a class, kept by its smallest id.
-2. Of each class a prefix of its n-grams is dealt out by n-gram. The order is by
-   hash, with the n-grams of very many texts last. A partner shares at least
-   ``slack`` n-grams of this prefix, so classes with fewer shared ones have no link.
-3. The remaining classes are joined into blocks through the prefixes they share;
-   no link leaves a block. Blocks that are too large are cut into a grid of pairs
-   of pieces.
+2. N-grams are hashes, so those below a limit are a random sample, and the same for
+   every text. Each class deals its sample out by n-gram; small texts have a larger
+   sample, up to all. A class whose sampled n-grams are too rarely shared to reach the
+   needed overlap with any partner has no link and leaves here.
+3. The others are joined into blocks through their rarest sampled n-grams: as many as a
+   partner may miss and one more. No link leaves a block. Blocks that are too large
+   are cut into a grid of pairs of pieces.
 4. In each block, inverted lists answer one T-occurrence query per class: the
    longest lists are set aside, the short ones merged, and the candidates probed
-   in the long ones by binary search. Overlaps are then exact.
+   in the long ones by binary search. Overlaps and links are then exact.
+
+Step 2 allows a partner to miss its expected share of the sample and seven standard
+deviations more, or to share just one of many: a link is lost in it with a probability
+of about 1e-10, where texts are small, or far less. Steps 3 and 4 lose none.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ from . import wordhash
 from .components import connected_components
 from .storage import cut, stored
 
-#: Share of all texts from which an n-gram counts as very frequent. A text has
-#: ``m`` n-grams on average, so at most m / FREQUENT_SHARE n-grams can be.
-FREQUENT_SHARE = 1 / 500
+#: (texts of up to so many n-grams, share of all n-grams that they deal out).
+TIERS = ((50, 1.0), (125, 0.5), (300, 0.25), (math.inf, 0.2))
+#: Standard deviations by which a partner may miss more sampled n-grams than expected.
+SIGMAS = 7
 #: N-grams of a block's pieces that one task holds at once.
-PIECE_GRAMS = 1_500_000
+PIECE_GRAMS = 3_000_000
 #: Constant of the DivideSkip paper's rule for the number of long lists.
 MU = 0.0085
 
@@ -41,27 +47,19 @@ def _least(percent: int, n: int) -> int:
     return -(-percent * n // 100)
 
 
-def _slack(n: int) -> int:
-    return 1 + n // 20
-
+def _share(n: float) -> float:
+    return next(share for most, share in TIERS if n <= most)
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted n-grams that very many texts hold.
 
-    One held by that share of all texts is held by it in some run of texts, so
-    counting within runs misses none. The order is free: links don't depend on it.
-    """
+def _sampled(grams: np.ndarray, share: float) -> np.ndarray:
+    """Those of sorted ``grams`` below the limit of ``share``."""
+    return grams if share >= 1 else grams[: np.searchsorted(grams, np.uint64(int(share * 2**64)))]
 
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(wordhash.gram_sets(batch.column(0), n))
-            found, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            enough = counts >= max(2, math.ceil(FREQUENT_SHARE * len(sets)))
-            yield pa.record_batch([wordhash.signed(found[enough]), pa.array(counts[enough])], ["gram", "n"])
 
-    total = docs.count()
-    rows = docs.select("text").mapInArrow(heavy, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, math.ceil(FREQUENT_SHARE * total))).select("gram").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+def _missable(n: int, share: float, percent: int) -> int:
+    """Sampled n-grams of a set of ``n`` that a partner may lack."""
+    most = n - _least(percent, n)
+    return most if share >= 1 else min(most, math.floor(most * share + SIGMAS * math.sqrt(most * share * (1 - share))))
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -73,44 +71,94 @@ def _key(mark: bytes) -> int:
 
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, digest, key) of every text; key is the first half of the digest."""
+    """(id, n, m, digest, key) of every text.
+
+    m of the n grams are in the sample that any partner deals out too; key is the first
+    half of the digest.
+    """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks = [], []
+            sizes, sampled, marks = [], [], []
             for grams in wordhash.gram_sets(batch.column(1), n):
                 sizes.append(len(grams))
+                sampled.append(len(_sampled(grams, _share(1.25 * len(grams)))))
                 marks.append(_digest(grams))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64())], ["id", "n", "digest", "key"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sampled, pa.int64()), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64())], ["id", "n", "m", "digest", "key"])
 
-    return docs.mapInArrow(digests, "id long, n long, digest binary, key long")
+    return docs.mapInArrow(digests, "id long, n long, m long, digest binary, key long")
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, frequent) -> DataFrame:
-    """(gram, key of the class, n): the prefix of each text; equal texts of a batch once."""
+def _dealt(docs: DataFrame, n: int) -> DataFrame:
+    """(gram, key of the class): the sample of each text; equal texts of a batch once."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
         for batch in batches:
-            out, keys, sizes, lengths, seen = [], [], [], [], set()
+            out, keys, lengths, seen = [], [], [], set()
             for grams in wordhash.gram_sets(batch.column(0), n):
                 if not len(grams) or (mark := _digest(grams)) in seen:
                     continue
                 seen.add(mark)
-                length = min(len(grams), len(grams) - _least(percent, len(grams)) + _slack(len(grams)))
-                if len(late):
-                    last = late[np.minimum(np.searchsorted(late, grams), len(late) - 1)] == grams
-                    prefix = np.concatenate([grams[~last][:length], grams[last][: max(0, length - int((~last).sum()))]])
-                else:
-                    prefix = grams[:length]
-                out.append(prefix)
+                out.append(_sampled(grams, _share(len(grams))))
                 keys.append(_key(mark))
-                sizes.append(len(grams))
-                lengths.append(len(prefix))
+                lengths.append(len(out[-1]))
             if out:
-                yield pa.record_batch([wordhash.signed(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), lengths)), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["gram", "key", "n"])
+                yield pa.record_batch([wordhash.signed(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), lengths))], ["gram", "key"])
+
+    return docs.select("text").mapInArrow(deal, "gram long, key long")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, key, df) that a batch repeats, once; as they come sorted by gram, nearly all."""
+    for batch in batches:
+        if batch.num_rows:
+            gram, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((key, gram))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(gram[order]) != 0) | (np.diff(key[order]) != 0)
+            yield batch.take(pa.array(np.sort(order[new])))
+
 
-    return docs.select("text").mapInArrow(deal, "gram long, key long, n int")
+def _rarest(percent: int):
+    """mapInArrow over rows (key, df, gram, n) sorted by key, df, gram.
+
+    Of each class that may have a partner: (gram, key) of the rarest sampled n-grams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def chosen(cols: list[np.ndarray]) -> pa.RecordBatch:
+            out, keys = [], []
+            edges = np.flatnonzero(np.diff(cols[0])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cols[0])], strict=True):
+                if a == b:
+                    continue
+                n, m = int(cols[3][a]), int(cols[4][a])
+                share = _share(1.25 * n)
+                grams = cols[2][a:b]
+                grams = grams[np.sort(np.unique(grams, return_index=True)[1])]
+                if share < 1:
+                    grams = grams[grams.view(np.uint64) < np.uint64(int(share * 2**64))]
+                missable = _missable(n, share, percent)
+                if len(grams) >= max(1, m - missable):
+                    first = missable + 1 - (m - len(grams))  # the unshared ones are the rarest
+                    out.append(grams[: max(1, first)])
+                    keys.append(np.full(len(out[-1]), cols[0][a]))
+            return pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (out, keys)], ["gram", "key"])
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            if rest is not None:
+                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+            if len(cols[0]):
+                keep = int(np.argmax(cols[0] == cols[0][-1]))
+                rest = [c[keep:].copy() for c in cols]
+                yield chosen([c[:keep] for c in cols])
+        if rest is not None:
+            yield chosen(rest)
+
+    return run
 
 
 class Lists:
@@ -230,20 +278,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id are left out; rows that repeat an id count as one row each. Other
     columns, whatever their names, aren't read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     read = source.where("id IS NOT NULL")
-    frequent = spark.sparkContext.broadcast(_frequent(read, n))
     members = stored(_classes(read, n), "jaccard-members")
-    classes = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("key").alias("key"))
-    prefixes = _prefixes(read, n, percent, frequent)
-    shared = prefixes.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("gram")
-    shared = stored(prefixes.join(shared, "gram"), "jaccard-shared")
-    smallest = F.ceil(F.col("n") * percent / F.lit(100))  # of a partner, which also has its slack
-    alive = shared.groupBy("key").agg(F.count("*").alias("hits"), F.first("n").alias("n")).where(F.col("hits") >= 1 + F.floor(smallest / 20)).select("key")
-    shared = shared.join(alive, "key")
-    leaders = shared.groupBy("gram").agg(F.min("key").alias("leader"))
-    blocks = connected_components(shared.join(leaders, "gram").select("key", "leader").distinct(), "key", "leader")
+    classes = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("key").alias("key"))
+    dealt = _dealt(read, n)
+    shared = dealt.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    shared = stored(dealt.join(shared, "gram").select("gram", "key", "df").mapInArrow(_once, "gram long, key long, df long"), "jaccard-shared")
+    sized = shared.join(classes.select("key", "n", "m"), "key").select("key", "df", "gram", "n", "m")
+    rarest = cut(sized.repartition("key").sortWithinPartitions("key", "df", "gram").mapInArrow(_rarest(percent), "gram long, key long"))
+    leaders = rarest.groupBy("gram").agg(F.min("key").alias("leader"))
+    blocks = connected_components(rarest.join(leaders, "gram").where("key <> leader").select("key", "leader").distinct(), "key", "leader")
     survivors = stored(classes.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")), "key").select("id", "key", "copies", "n", "block"), "jaccard-blocks")
     weights = survivors.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).where("rows > 1").select("block", F.ceil(F.col("grams") / F.lit(PIECE_GRAMS)).cast("int").alias("pieces"))
     survivors = survivors.join(weights, "block").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
