@@ -299,7 +299,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = pa.array([_key(_digest(g)) == key for g, key in zip(found, batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.record_batch([*batch.columns[:5], pa.array([g.tobytes() for g in found], pa.binary())], ["block", "pieces", "piece", "key", "copies", "grams"]).filter(own)
 
-    with_sets = survivors.join(read, "id").select("block", "pieces", "piece", "key", "copies", "text").mapInArrow(sets, "block long, pieces int, piece int, key long, copies long, grams binary")
+    # merge join: the survivors grow with the texts, so they are never broadcast
+    with_sets = read.join(survivors.hint("merge"), "id").select("block", "pieces", "piece", "key", "copies", "text").mapInArrow(sets, "block long, pieces int, piece int, key long, copies long, grams binary")
     cells = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("block", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "key", "copies", "grams")
     found = cut(cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_link_groups(percent), "key long, root long, links long"))
     roots = connected_components(found, "key", "root").select(F.col("node").alias("key"), "component")
