@@ -39,15 +39,17 @@ def _windows(width: int = 5) -> Column:
     return F.expr(f"IF(n_words < {width}, CAST(array() AS array<bigint>), sort_array(transform(sequence(0, n_words - {width}), {at})))")
 
 
-def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, row: bool = False) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_loud)``.
 
     All are long; a null text counts as empty and has 0 throughout. ``n_lines`` counts
-    lines with a word, ``n_loud`` words that end in two or more ``!``. Windows that agree
+    lines with a word; with ``row`` the input row stays as the struct ``_row``; ``n_loud`` words that end in two or more ``!``. Windows that agree
     in all bits of their hash that are left beside the position are compared word by word.
     """
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if row else []
+    held = ["_row"] if row else []
     space = r"[\x20\x09-\x0D]+"
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"), *kept)
     bare = F.translate("_t", " \t\n\x0b\x0c\r", "")
     words = text.withColumn("_w", F.filter(F.split("_t", space), lambda w: w != "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")).withColumn("_b", bare)
     counted = words.select(
@@ -58,6 +60,7 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.size("_l").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
         F.size(F.filter("_w", lambda w: F.endswith(w, F.lit("!!")))).alias("n_loud"),
+        *held,
         "_w",
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
         F.expr("greatest(1, CAST(ceil(log2(size(_w) + 1)) AS int))").alias("_bits"),
@@ -66,7 +69,7 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = lambda a, b: f"(shiftright({a}, _bits) = shiftright({b}, _bits) AND slice(_w, CAST({a} & (shiftleft(1L, _bits) - 1) AS int) + 1, {width}) = slice(_w, CAST({b} & (shiftleft(1L, _bits) - 1) AS int) + 1, {width}))"
     repeated = F.expr(f"IF(size(_s) < 2, CAST(array() AS array<bigint>), sort_array(transform(filter(_s, (c, i) -> (i > 0 AND {same('c', '_s[i - 1]')}) OR (i + 1 < size(_s) AND {same('c', '_s[i + 1]')})), c -> c & (shiftleft(1L, _bits) - 1))))")
     covered = F.expr(f"aggregate(_r, named_struct('n', 0L, 'end', 0L), (a, p) -> named_struct('n', a.n + p + {width} - greatest(a.end, p), 'end', p + {width}), a -> a.n)")
-    return coded.withColumn("_r", repeated).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")], covered.cast("long").alias("n_repeat_words"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_loud").cast("long").alias("n_loud"))
+    return coded.withColumn("_r", repeated).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")], covered.cast("long").alias("n_repeat_words"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_loud").cast("long").alias("n_loud"), *held)
 
 
 def vote(bad: str, good: str) -> Column:
@@ -108,7 +111,7 @@ def fit_rules(patterns: list[tuple[tuple[int, ...], int]], rules=RULES, rounds:
     return prior, accuracies
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, threshold: float = THRESHOLD, row: bool = False) -> DataFrame:
     """Features, ``base_failed``, ``kept`` and the posterior ``quality`` of every row.
 
     ``base_failed``: fewer than 10 words, or over 20 % of the words in repeated windows;
@@ -118,7 +121,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     names = [f"v{i}" for i in range(len(rules))]
     votes = [vote(bad, good).alias(v) for v, (_, bad, good, _) in zip(names, rules, strict=True)]
-    features = quality_features(docs, id_col, text_col).select("*", *votes)
+    features = quality_features(docs, id_col, text_col, row=row).select("*", *votes)
     counted = features.groupBy(*names).count().collect()
     prior, accuracies = fit_rules(sorted((tuple(row[:-1]), row[-1]) for row in counted), rules)
     odds = F.lit(_weight(prior))
@@ -132,3 +135,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def quality_report(docs: DataFrame) -> DataFrame:
     """The columns of the registered query."""
     return quality_verdicts(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def keep_quality(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns."""
+    return quality_verdicts(docs, row=True).where("kept").select("_row.*")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe
+from .mixing import poisson_mix
 from .ngram_jaccard import jaccard_groups
 from .quality_rules import quality_report
+from .substring_dedup import repeated_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ranks() -> tuple[str, str]:
+def ranks() -> tuple[str, str]:
     """(rank file, split pattern) of the registered queries; both are parameters of the operators."""
     import public_tokenizers
 
@@ -21,20 +23,49 @@ def _ranks() -> tuple[str, str]:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.bpe_digests(_table(spark, sf_dir, "documents"), *_ranks())
+    return byte_bpe.bpe_digests(_table(spark, sf_dir, "documents"), *ranks())
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_mix_sources": op5_mix_sources,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+OP5_SQL = """
+WITH sizes AS (
+  SELECT source, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS chars FROM documents GROUP BY source
+), weighed AS (
+  SELECT source, chars, CAST(floor(sqrt(CAST(chars AS DOUBLE)) * 1000) AS BIGINT) AS weight FROM sizes
+), rates AS (
+  SELECT source, CASE WHEN chars > 0 THEN coalesce(CAST((SELECT sum(chars) FROM weighed) AS DOUBLE) * (CAST(weight AS DOUBLE) / CAST((SELECT sum(weight) FROM weighed) AS DOUBLE)) / chars, 0.0) ELSE 0.0 END AS rate FROM weighed
+), tables AS (
+  SELECT source, CASE WHEN rate > 0 THEN list_transform(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 20) AS BIGINT) + 1), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(i * ln(rate) - rate - lgamma(i + 1))))) ELSE [1.0] END AS cdf FROM rates
+), drawn AS (
+  SELECT d.*, CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents d
+), counted AS (
+  SELECT d.*, CAST(len(list_filter(t.cdf, lambda p: p <= d.u)) AS INTEGER) AS mix_copies FROM drawn d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
+), copied AS (
+  SELECT * EXCLUDE (u), CAST(unnest(range(1, mix_copies + 1)) AS INTEGER) AS mix_copy FROM counted
+)
+SELECT *, md5('mix/order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(mix_copy AS VARCHAR)) AS mix_order FROM copied
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL}

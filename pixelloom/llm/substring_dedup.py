@@ -44,7 +44,11 @@ def minimizers(codes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
-    """(seed, id, at) for every minimizer; of a code that a text repeats only the first."""
+    """(seed, id, at) for every minimizer.
+
+    A code that a text repeats is told apart by how many came before it, so repetitive
+    texts match in order.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,9 +60,14 @@ def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
                 for i in range(rows):
                     own = codes[bounds[i] : bounds[i + 1]]
                     at = minimizers(own, window)
-                    found, once = np.unique(own[at], return_index=True)
-                    seeds.append(found)
-                    places.append(at[once])
+                    order = np.argsort(own[at], kind="stable")
+                    found = own[at][order]
+                    turn = np.arange(len(found), dtype=np.uint64)
+                    new = np.ones(len(found), bool)
+                    new[1:] = found[1:] != found[:-1]
+                    turn -= np.maximum.accumulate(np.where(new, turn, np.uint64(0)))
+                    seeds.append(np.where(turn > 0, wordhash.mix(found + turn), found))
+                    places.append(at[order])
                     owners.append(np.full(len(found), ids[start + i], np.int64))
                 yield pa.record_batch([wordhash.signed(np.concatenate(seeds)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int32))], ["seed", "id", "at"])
 
@@ -217,7 +226,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["id", "words"])
 
     ids = chains.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
-    coded = stored(read.join(ids, "id").mapInArrow(codes, "id long, words binary"), "passage-words")
+    coded = stored(read.join(ids.hint("merge"), "id").mapInArrow(codes, "id long, words binary"), "passage-words")
 
     def part(words: str, low: str, high: str):
         first = F.greatest(F.lit(0), F.col(low) - MARGIN)
@@ -278,6 +287,6 @@ def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
         return pd.Series(out, dtype=object)
 
     columns = [c for c in docs.columns if c != text_col]
-    joined = docs.join(spans, F.col(id_col) == F.col("_passage_id"), "left")
+    joined = docs.join(spans.hint("merge"), F.col(id_col) == F.col("_passage_id"), "left")
     cleaned = joined.select(*columns, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("_spans"))).alias(text_col), F.col("_spans").isNotNull().alias("_cut"))
     return cleaned.where(f"NOT (_cut AND `{text_col}` IS NOT NULL AND trim(translate(`{text_col}`, '\\t\\n\\r\\f', '    ')) = '')").select(*docs.columns)
