@@ -39,6 +39,16 @@ def _windows(width: int = 5) -> Column:
     return F.expr(f"IF(n_words < {width}, CAST(array() AS array<bigint>), sort_array(transform(sequence(0, n_words - {width}), {at})))")
 
 
+def _computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each evaluated once for a row.
+
+    The optimizer copies a projected expression to where it is used, even into the lambda
+    of another and so into its loop; it doesn't copy the output of a generator.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select("*", one.alias("_one")).select(*df.columns, "_one.*")
+
+
 def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, row: bool = False) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_loud)``.
 
@@ -50,26 +60,30 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     held = ["_row"] if row else []
     space = r"[\x20\x09-\x0D]+"
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t"), *kept)
-    bare = F.translate("_t", " \t\n\x0b\x0c\r", "")
-    words = text.withColumn("_w", F.filter(F.split("_t", space), lambda w: w != "")).withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "")).withColumn("_b", bare)
-    counted = words.select(
-        "doc_id",
-        F.size("_w").alias("n_words"),
-        F.char_length("_b").alias("word_chars"),
-        (F.char_length("_b") - F.char_length(F.translate("_b", SYMBOLS, ""))).alias("n_symbols"),
-        F.size("_l").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        F.size(F.filter("_w", lambda w: F.endswith(w, F.lit("!!")))).alias("n_loud"),
-        *held,
-        "_w",
-        F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
-        F.expr("greatest(1, CAST(ceil(log2(size(_w) + 1)) AS int))").alias("_bits"),
+    words = _computed(
+        text,
+        _w=F.filter(F.split("_t", space), lambda w: w != ""),
+        _l=F.filter(F.split("_t", "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != ""),
+        _b=F.translate("_t", " \t\n\x0b\x0c\r", ""),
+    )
+    counted = _computed(
+        words,
+        n_words=F.size("_w"),
+        word_chars=F.char_length("_b"),
+        n_symbols=F.char_length("_b") - F.char_length(F.translate("_b", SYMBOLS, "")),
+        n_lines=F.size("_l"),
+        n_dup_lines=F.size("_l") - F.size(F.array_distinct("_l")),
+        n_loud=F.size(F.filter("_w", lambda w: F.endswith(w, F.lit("!!")))),
+        _h=F.transform("_w", lambda w: F.xxhash64(w)),
+        _bits=F.expr("greatest(1, CAST(ceil(log2(size(_w) + 1)) AS int))"),
     )
-    coded = counted.withColumn("_s", _windows(width))
+    coded = _computed(counted, _s=_windows(width))
     same = lambda a, b: f"(shiftright({a}, _bits) = shiftright({b}, _bits) AND slice(_w, CAST({a} & (shiftleft(1L, _bits) - 1) AS int) + 1, {width}) = slice(_w, CAST({b} & (shiftleft(1L, _bits) - 1) AS int) + 1, {width}))"
     repeated = F.expr(f"IF(size(_s) < 2, CAST(array() AS array<bigint>), sort_array(transform(filter(_s, (c, i) -> (i > 0 AND {same('c', '_s[i - 1]')}) OR (i + 1 < size(_s) AND {same('c', '_s[i + 1]')})), c -> c & (shiftleft(1L, _bits) - 1))))")
     covered = F.expr(f"aggregate(_r, named_struct('n', 0L, 'end', 0L), (a, p) -> named_struct('n', a.n + p + {width} - greatest(a.end, p), 'end', p + {width}), a -> a.n)")
-    return coded.withColumn("_r", repeated).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")], covered.cast("long").alias("n_repeat_words"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_loud").cast("long").alias("n_loud"), *held)
+    marked = _computed(coded, _r=repeated)
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")]
+    return _computed(marked, n_repeat_words=covered.cast("long")).select("doc_id", *counts, "n_repeat_words", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_loud").cast("long").alias("n_loud"), *held)
 
 
 def vote(bad: str, good: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe
+from .cover_tree import quantized, top_k_inner_product
 from .mixing import poisson_mix
 from .ngram_jaccard import jaccard_groups
 from .quality_rules import quality_report
@@ -22,6 +23,11 @@ def ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantized(_table(spark, sf_dir, "embeddings"))
+    return top_k_inner_product(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(_table(spark, sf_dir, "documents"), *ranks())
 
@@ -43,6 +49,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_mix_sources": op5_mix_sources,
@@ -68,4 +75,17 @@ WITH sizes AS (
 SELECT *, md5('mix/order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || CAST(mix_copy AS VARCHAR)) AS mix_order FROM copied
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mix_sources": OP5_SQL}
+OP1_SQL = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_cover_tree": OP1_SQL, "op5_mix_sources": OP5_SQL}
