@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe
+from .chat_tree import chat_digests
 from .cover_tree import quantized, top_k_inner_product
 from .mixing import poisson_mix
 from .ngram_jaccard import jaccard_groups
 from .quality_rules import quality_report
 from .substring_dedup import repeated_passages
+from .warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +42,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).withColumnRenamed("id", "doc_id")
 
@@ -52,7 +64,9 @@ QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_warc": op4_warc,
     "op5_mix_sources": op5_mix_sources,
+    "op6_chat_tree": op6_chat_tree,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -88,4 +102,16 @@ WITH q AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_cover_tree": OP1_SQL, "op5_mix_sources": OP5_SQL}
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages WHERE page_id IS NOT NULL
+), m AS (
+  SELECT payload_digest, max(page_id) AS stored_as FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN stored_as <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN stored_as <> page_id THEN stored_as END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op1_cover_tree": OP1_SQL, "op5_mix_sources": OP5_SQL}
