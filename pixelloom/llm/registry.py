@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import byte_bpe
 from .chat_tree import chat_digests
 from .cover_tree import quantized, top_k_inner_product
+from .kneser_ney import held_out_scores
 from .mixing import poisson_mix
 from .ngram_jaccard import jaccard_groups
 from .quality_rules import quality_report
@@ -60,6 +61,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).withColumnRenamed("id", "doc_id")
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_cover_tree": op1_cover_tree,
     "op2_byte_bpe": op2_byte_bpe,
@@ -69,6 +74,7 @@ QUERIES = {
     "op6_chat_tree": op6_chat_tree,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 OP5_SQL = """
 WITH sizes AS (
