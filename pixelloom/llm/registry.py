@@ -8,6 +8,7 @@ from . import byte_bpe
 from .chat_tree import chat_digests
 from .cover_tree import quantized, top_k_inner_product
 from .kneser_ney import held_out_scores
+from .language_id import held_out_languages
 from .mixing import poisson_mix
 from .ngram_jaccard import jaccard_groups
 from .quality_rules import quality_report
@@ -57,6 +58,10 @@ def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).withColumnRenamed("id", "doc_id")
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_tree": op6_chat_tree,
+    "op7_language_id": op7_language_id,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_quality_rules": op9_quality_rules,
     "op10_kneser_ney": op10_kneser_ney,
