@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import pixel_queries
 
-def flagship(spark, sf_dir):
+QUERIES: dict = {**pixel_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**pixel_queries.ORACLE_SQL}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["px_crop_rot90"](spark, sf_dir)
