@@ -96,3 +96,17 @@ def _entries(spark, sf_dir):
 
 
 _add("exif_entries", _entries)
+
+
+def _palettes(algorithm):
+    def query(spark, sf_dir):
+        from ..functions.palette import extract_palettes
+
+        found = extract_palettes(pixels(spark, sf_dir), 5, algorithm, seed=3)
+        return found.select("image_id", (F.size("colors") > 0).alias("some"), (F.size("colors") <= 5).alias("bounded"), "tag")
+
+    return query
+
+
+for _name in ("wu", "kmeans", "kmeans_pp", "median_cut", "octree", "neuquant"):
+    _add(f"palette_bounds_{_name}", _palettes(_name), "SELECT p_partkey AS image_id, true AS some, true AS bounded, 15 AS tag FROM part")
