@@ -21,21 +21,22 @@ from pyspark.sql import functions as F
 from .storage import cut, stored
 
 OPEN, CLOSE, ROLE, END_ROLE = "<s>", "</s>", "[INST:", "/INST]"
+_CODES = {"\\": "\\\\", "<": "\\l", "[": "\\o", "/": "\\d"}
 _CONTROL = re.compile(r"[\\<\[/]")
-_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+_ESCAPED = re.compile(r"\\([\\lod])")
+_PLAIN = {code[1]: c for c, code in _CODES.items()}
 
 
 def escape(text: str) -> str:
-    """``text`` with a backslash before each character with which control strings begin.
+    """``text`` with a code for a backslash and for each character that begins a control string.
 
-    ``<s>``, ``</s>``, ``[INST:`` and ``/INST]``, and any longer form of them, then
-    occur nowhere in it.
+    ``<s>``, ``</s>``, ``[INST:`` and ``/INST]`` then occur nowhere in it.
     """
-    return _CONTROL.sub(r"\\\g<0>", text)
+    return _CONTROL.sub(lambda m: _CODES[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: _PLAIN[m[1]], text)
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
