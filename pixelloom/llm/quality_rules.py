@@ -108,14 +108,14 @@ def fit_rules(patterns: list[tuple[tuple[int, ...], int]], rules=RULES, rounds:
 
     E: the posterior of each pattern. M: an accuracy is the share of a rule's votes, of
     one kind, that the posteriors bear out, held within the rule's range; the prior is the
-    mean posterior, from 0.3 to 0.7, so that votes decide.
+    mean posterior, from 0.5 to 0.7: a text without a vote for bad is always kept.
     """
     ranges = [(bad, GOOD_RANGE) for *_, bad in rules]
     prior, accuracies = 0.7, [tuple(sum(r) / 2 for r in pair) for pair in ranges]
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         judged = [(votes, n, posterior(votes, prior, accuracies)) for votes, n in patterns]
-        prior = min(0.7, max(0.3, sum(n * p for _, n, p in judged) / total))
+        prior = min(0.7, max(0.5, sum(n * p for _, n, p in judged) / total))
         accuracies = []
         for k, pair in enumerate(ranges):
             both = []
