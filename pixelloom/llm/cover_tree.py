@@ -20,12 +20,17 @@ CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 1024
 #: A node of so many points is not split further.
 LEAF = 48
+#: Ratio of the radii of two levels. Distances of vectors with many components differ little,
+#: and with a ratio of 2 nearly every point would be a child of the root.
+BASE = 1.15
+#: Candidates that are scored at a time.
+SCORED = 256
 #: Stand-ins of a place that no candidate has taken yet.
 NO_SCORE, NO_ID = -(1 << 62), (1 << 63) - 1
 
 
 class CoverTree:
-    """A cover tree: every level halves the radius within which a node's centre covers its points.
+    """A cover tree: every level lessens the radius within which a node's centre covers its points.
 
     Centres of siblings are further apart than that radius, a node's centre is also that of
     its first child, and each point belongs to its nearest centre. Nodes are arrays:
@@ -56,7 +61,7 @@ class CoverTree:
         if high - low <= LEAF or radius == 0:
             return me
         rows = self.order[low:high]
-        best, owner, centres, cover = distance.copy(), np.zeros(len(rows), np.int64), [centre], radius / 2
+        best, owner, centres, cover = distance.copy(), np.zeros(len(rows), np.int64), [centre], radius / BASE
         while (far := int(best.argmax())) >= 0 and best[far] > cover:
             d = self._distances(int(rows[far]), rows)
             nearer = d < best
@@ -82,8 +87,9 @@ class TopK:
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores[i, j]`` of query row i with candidate j; a query's own id is passed over."""
         scores = np.where(self.ids[rows][:, None] == ids[None, :], NO_SCORE, scores)
-        better = (scores >= self.scores[rows, -1][:, None]).any(axis=1)
-        rows, scores = rows[better], scores[better]
+        better = scores >= self.scores[rows, -1][:, None]
+        some, columns = better.any(axis=1), better.any(axis=0)
+        rows, ids, scores = rows[some], ids[columns], scores[some][:, columns]
         if not len(rows):
             return
         scores = np.concatenate([self.scores[rows], scores], axis=1)
@@ -95,32 +101,55 @@ class TopK:
 
 
 def dual_search(queries: CoverTree, tree: CoverTree, ids: np.ndarray, best: TopK) -> None:
-    """Offer ``best`` every candidate of ``tree`` that may be among a query's top k."""
+    """Offer ``best`` every candidate of ``tree`` that may be among a query's top k.
+
+    A pair of nodes is opened on the query side until its group is a leaf, then on the
+    candidates' side. Bounds of all children are taken at once and the most promising
+    are followed first; candidate leaves are scored together, some hundred points at a time.
+    """
     if not len(queries.points) or not len(tree.points):
         return
-    lengths_q, lengths_t = np.sqrt(queries.squares), np.sqrt(tree.squares)
-    q_points, t_points = queries.points.astype(np.int64), tree.points
+    q_length, t_length = np.sqrt(queries.squares), np.sqrt(tree.squares)
+    q_centre, t_centre = np.array(queries.centre), np.array(tree.centre)
+    q_radius, t_radius = np.array(queries.radius), np.array(tree.radius)
+
+    def bounds(q: np.ndarray, t: np.ndarray) -> np.ndarray:
+        a, b, r, s = q_centre[q], t_centre[t], q_radius[q], t_radius[t]
+        dots = np.einsum("ij,ij->i", *np.broadcast_arrays(queries.points[a], tree.points[b]))
+        return dots + r * t_length[b] + s * q_length[a] + r * s + 1e-6
 
-    def bound(q: int, t: int) -> float:
-        a, b = queries.centre[q], tree.centre[t]
-        r, s = queries.radius[q], tree.radius[t]
-        return float(queries.points[a] @ t_points[b]) + r * lengths_t[b] + s * lengths_q[a] + r * s + 1e-6
+    def worst(q: int) -> int:
+        return best.scores[queries.order[queries.low[q] : queries.high[q]], -1].min()
 
-    stack = [(bound(0, 0), 0, 0)]
+    one = np.zeros(1, np.int64)
+    stack = [(float(bounds(one, one)[0]), 0, 0)]
     while stack:
         limit, q, t = stack.pop()
-        rows = queries.order[queries.low[q] : queries.high[q]]
-        if limit < best.scores[rows, -1].min():
+        if limit < worst(q):
             continue
-        below_q, below_t = queries.children[q], tree.children[t]
-        if not below_q and not below_t:
-            part = tree.order[tree.low[t] : tree.high[t]]
-            best.offer(rows, ids[part], np.rint(q_points[rows].astype(np.float64) @ t_points[part].T).astype(np.int64))
+        if queries.children[q]:
+            below = np.array(queries.children[q])
+            found = bounds(below, np.array([t]))
+            stack += [(float(found[i]), int(below[i]), t) for i in np.argsort(found)]
             continue
-        if below_t and (not below_q or tree.radius[t] >= queries.radius[q]):
-            stack += sorted((bound(q, c), q, c) for c in below_t)
-        else:
-            stack += sorted((bound(c, t), c, t) for c in below_q)
+        below = np.array(tree.children[t]) if tree.children[t] else np.array([t])
+        found = bounds(np.array([q]), below)
+        order = np.argsort(-found)
+        order = order[found[order] >= worst(q)]
+        leaf = np.array([not tree.children[c] for c in below[order]], bool)
+        inner = order[~leaf]
+        rows = queries.order[queries.low[q] : queries.high[q]]
+        part: list[np.ndarray] = []
+        for k, i in enumerate(leaves := order[leaf].tolist()):
+            if not part and found[i] < worst(q):
+                break
+            c = below[i]
+            part.append(tree.order[tree.low[c] : tree.high[c]])
+            if k + 1 == len(leaves) or sum(map(len, part)) >= SCORED:
+                at = np.concatenate(part)
+                best.offer(rows, ids[at], np.rint(queries.points[rows] @ tree.points[at].T).astype(np.int64))
+                part = []
+        stack += [(float(found[i]), q, int(below[i])) for i in inner[::-1]]
 
 
 def _search_blocks(k: int):
