@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containers, exif, xmp
+from . import containers, exif, makernotes, xmp
 from .tables import EXIF_TAGS, GPS_TAGS, IPTC_NAMES, LABELS, WRITABLE
 
 _MAP, _PA_MAP = "map<string,string>", pa.map_(pa.string(), pa.string())
@@ -20,6 +20,8 @@ def metadata_of(data: bytes) -> dict:
     """All that :data:`META` holds, of one file."""
     tiff = containers.tiff_of(data)
     tags, plain = exif.named(tiff) if tiff else ({}, {})
+    if tiff:
+        tags |= makernotes.parse(tiff, plain.get("Make", ""))
     latitude, longitude, altitude = exif.gps(plain)
     iptc: dict[str, list[str]] = {}
     for number, value in containers.iptc_datasets(data):

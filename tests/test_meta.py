@@ -7,7 +7,7 @@ import pytest
 
 from pixelloom.functions import codecs, heif
 from pixelloom.functions.codecs.base import image
-from pixelloom.functions.meta import columns, containers, exif, xmp
+from pixelloom.functions.meta import columns, containers, exif, makernotes, xmp
 
 JPEG = codecs.encode(image(np.full((8, 8, 1), 99, np.uint8), "gray"), "jpeg")
 PNG = codecs.encode(image(np.full((8, 8, 1), 99, np.uint8), "gray"), "png")
@@ -126,3 +126,49 @@ def test_files_and_dates(spark, tmp_path):
     assert len(read_headers(spark, str(tmp_path), 10).first().content) == 10
     dates = spark.createDataFrame([("2024:01:02 03:04:05",), ("2024-01-02",), ("1700:01:01",), ("x",), (None,)], "d string")
     assert [str(r[0]) for r in dates.select(columns.parse_date(F.col("d"))).collect()] == ["2024-01-02 03:04:05", "2024-01-02 00:00:00", "None", "None", "None"]
+
+
+def _directory(entries, at, order):
+    """A directory at offset ``at`` of (tag, type, values or bytes)."""
+    mark = "<" if order == "little" else ">"
+    kinds = {2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 7: (1, "s"), 10: (8, "i")}
+    head, pool, place = struct.pack(mark + "H", len(entries)), b"", at + 6 + 12 * len(entries)
+    for tag, kind, values in entries:
+        size, code = kinds[kind]
+        raw = values if isinstance(values, bytes) else struct.pack(f"{mark}{len(values)}{code}", *values)
+        head += struct.pack(mark + "HHI", tag, kind, len(raw) // size)
+        if len(raw) <= 4:
+            head += raw.ljust(4, b"\0")
+        else:
+            head += struct.pack(mark + "I", place + len(pool))
+            pool += raw
+    return head + bytes(4) + pool
+
+
+def with_note(make, note):
+    """A little-endian TIFF stream whose maker note is ``note(its offset)``."""
+    exif_at = 8 + 2 + 2 * 12 + 4 + len(make) + 1
+    note_at = exif_at + 2 + 12 + 4
+    ifd0 = _directory([(0x010F, 2, make.encode() + b"\0"), (0x8769, 4, [exif_at])], 8, "little")
+    body = note(note_at)
+    entry = struct.pack("<HHHII", 1, 0x927C, 7, len(body), note_at) + bytes(4)
+    return b"II*\0" + struct.pack("<I", 8) + ifd0 + entry + body
+
+
+def test_maker_notes():
+    settings = [0] * 21
+    settings[3], settings[7], settings[17] = 3, 2, 5
+    canon = with_note("Canon Inc", lambda at: _directory([(0x0001, 3, settings), (0x0008, 4, [1234567]), (0x0095, 2, b"EF 50mm\0")], at, "little"))
+    found = dict(columns.metadata_of(canon)["tags"])
+    assert found["Canon:Quality"] == "Fine" and found["Canon:FocusMode"] == "AI Focus AF" and found["Canon:FileNumber"] == "123-4567" and found["Canon:LensModel"] == "EF 50mm"
+    nikon = with_note("NIKON CORP", lambda at: b"Nikon\0\2\0\0\0MM\0*\0\0\0\x08" + _directory([(0x0004, 2, b"FINE\0\0"), (0x0007, 2, b"AF-S  \0")], 8, "big"))
+    assert makernotes.parse(nikon, "Nikon") == {"Nikon:Quality": "Fine", "Nikon:FocusMode": "AF-S"}
+    panasonic = with_note("Panasonic", lambda at: b"Panasonic\0\0\0" + _directory([(0x0001, 3, [2]), (0x0002, 7, bytes((0, 1, 0, 6))), (0x0029, 4, [366101])], at + 12, "little"))
+    assert makernotes.parse(panasonic, "Panasonic") == {"Panasonic:ImageQuality": "High", "Panasonic:FirmwareVersion": "0.1.0.6", "Panasonic:TimeSincePowerOn": "01:01:01.01"}
+    fuji = with_note("FUJIFILM", lambda at: b"FUJIFILM\x0c\0\0\0" + _directory([(0x1000, 2, b"NORMAL \0"), (0x1031, 3, [512])], 12, "little"))
+    assert makernotes.parse(fuji, "Fujifilm") == {"FujiFilm:Quality": "NORMAL", "FujiFilm:PictureMode": "Shutter speed priority AE"}
+    apple = with_note("Apple", lambda at: b"Apple iOS\0\0\1MM" + _directory([(0x0014, 4, [10]), (0x0008, 10, [1, 2, -1, 4]), (0x0099, 4, [7])], 14, "big"))
+    assert makernotes.parse(apple, "Apple") == {"Apple:ImageCaptureType": "Photo", "Apple:AccelerationVector": "0.5 -0.25", "Apple:0x0099": "7"}
+    for tiff in (canon, nikon, panasonic, fuji, apple):
+        for cut in range(8, len(tiff), 5):
+            columns.metadata_of(tiff[:cut])
