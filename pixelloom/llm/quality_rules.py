@@ -138,8 +138,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = [f"v{i}" for i in range(len(rules))]
     votes = [vote(bad, good).alias(v) for v, (_, bad, good, _) in zip(names, rules, strict=True)]
     features = quality_features(docs, id_col, text_col, row=row).select("*", *votes)
-    if not row:
-        features = stored(features, "quality-features")  # a few numbers for each text, read twice below
+    features = stored(features, "quality-features")  # the counts below read the votes only, not the rows
     counted = features.groupBy(*names).count().collect()
     prior, accuracies = fit_rules(sorted((tuple(row[:-1]), row[-1]) for row in counted), rules)
     odds = F.lit(_weight(prior))
