@@ -11,8 +11,8 @@ bits, one in four thousand million pairs, share their bigrams.
 
 from __future__ import annotations
 
-import math
 import os
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,6 +68,21 @@ def _bigram_shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return _shard(((keys >> _HALF) + (keys & np.uint64(7)) * np.uint64(0x9E3779B9)) & _LOW, shards)
 
 
+def _packed(array: np.ndarray) -> bytes:
+    """Bytes of equal place side by side, then zlib: sorted keys and small counts shrink."""
+    return zlib.compress(np.ascontiguousarray(array).view(np.uint8).reshape(array.size, -1).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def _smallest(values: np.ndarray) -> np.ndarray:
+    """In the narrowest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+
+
 def _blocks(kind: int, shard: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
     """(kind, shard, keys, values...) for each shard; keys sorted within it."""
     order = np.argsort(shard, kind="stable")
@@ -75,7 +90,7 @@ def _blocks(kind: int, shard: np.ndarray, keys: np.ndarray, *values: np.ndarray)
     edges = np.flatnonzero(np.diff(shard)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
         if b > a:
-            yield kind, int(shard[a]), keys[a:b].tobytes(), np.stack([v[a:b] for v in values]).astype("<u4").tobytes()
+            yield kind, int(shard[a]), _packed(keys[a:b]), _packed(np.stack([v[a:b] for v in values]).astype("<u4"))
 
 
 _BLOCK_SCHEMA = "kind int, shard int, keys binary, counts binary"
@@ -104,8 +119,8 @@ def _by_shard(batches: Iterator[pa.RecordBatch], key_type: str, width: dict[int,
                 if at:
                     yield *at, *merged(keys, values)
                 at, keys, values = (kind, shard), [], []
-            keys.append(np.frombuffer(k.as_buffer(), key_type).copy())
-            values.append(np.frombuffer(v.as_buffer(), "<u4").reshape(width[kind], -1).copy())
+            keys.append(_unpacked(k.as_buffer(), key_type))
+            values.append(_unpacked(v.as_buffer(), "<u4").reshape(width[kind], -1))
     if at:
         yield *at, *merged(keys, values)
 
@@ -147,8 +162,9 @@ class Model:
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
             if b > a and (have := self._map(f"{kind}-{int(shard[a])}-keys")) is not None:
                 values = self._map(f"{kind}-{int(shard[a])}-values")
-                at = np.minimum(np.searchsorted(have, keys[a:b]), len(have) - 1)
-                out[:, a:b] = np.where(have[at] == keys[a:b], values[:, at], 0)
+                wanted = keys[a:b].astype(have.dtype)
+                at = np.minimum(np.searchsorted(have, wanted), len(have) - 1)
+                out[:, a:b] = np.where(have[at] == wanted, values[:, at], 0)
         return out
 
     def _sorted_look_up(self, kind: str, keys: np.ndarray, shard_of, width: int = 1) -> np.ndarray:
@@ -204,7 +220,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[str, int, dict]:
         for kind, shard, keys, values in _by_shard(batches, "<u8", {0: 1, 1: 1}):
             name = ("unigram", "bigram")[kind]
             _write(folder, f"{name}-{shard}-keys", keys)
-            _write(folder, f"{name}-{shard}-values", values.astype(np.int64 if kind == 0 else np.uint32))
+            _write(folder, f"{name}-{shard}-values", _smallest(values))
             n = values[0]
             facts = np.array([len(n), int(n.sum()), *[int((n == k).sum()) for k in (1, 2, 3, 4)]], np.int64)
             rows = [(10 + kind, shard, facts.tobytes(), b"")]
@@ -221,8 +237,8 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[str, int, dict]:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, shard, keys, values in _by_shard(batches, "<u4", {2: 4, 3: 1}):
             name = "context" if kind == 2 else "continuation"
-            _write(folder, f"{name}-{shard}-keys", keys.astype(np.uint64))
-            _write(folder, f"{name}-{shard}-values", values.astype(np.uint32))
+            _write(folder, f"{name}-{shard}-keys", keys)
+            _write(folder, f"{name}-{shard}-values", _smallest(values))
             n = values[0]
             yield _block_batch([(10 + kind, shard, np.array([len(n), int(n.sum()), *[int((n == k).sum()) for k in (1, 2, 3, 4)]], np.int64).tobytes(), b"")])
 
