@@ -8,6 +8,7 @@ them by segment number, verifies the total length and decodes chunked transfer f
 from __future__ import annotations
 
 import base64
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,7 +83,7 @@ def page_records(page_id: int, url: str, payload: bytes, sha1_hex: str, refers_t
 
 
 def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Write ``pages`` as WARC files below ``path``, in parallel, through Spark's text writer.
+    """Write ``pages`` as gzip-compressed WARC files below ``path``, in parallel, through Spark's text writer.
 
     Of equal payloads of at least 1000 bytes the one with the largest id is stored, the
     others revisit it. A null payload is empty, a null URL an empty one, in which line
@@ -105,7 +106,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
                 yield pa.record_batch([pa.array([x[:-1] for x in out], pa.binary())], ["value"])
 
     # the writer ends each value with the line feed that was cut off, so files hold records only
-    placed.mapInArrow(framed, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file).text(path)
+    placed.mapInArrow(framed, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file).text(path, compression="gzip")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,8 +138,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for data in batch.column(0):
-                out = []
-                for f, block in parse_archive(data.as_buffer().to_pybytes()):
+                out, raw = [], data.as_buffer().to_pybytes()
+                for f, block in parse_archive(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     number, total = f.get("WARC-Segment-Number"), f.get("WARC-Segment-Total-Length")
                     out.append((f["WARC-Record-ID"], f["WARC-Type"], f.get("WARC-Target-URI"), f.get("WARC-Payload-Digest"), f.get("WARC-Refers-To"), f.get("WARC-Segment-Origin-ID", f["WARC-Record-ID"]), int(number) if number else None, int(total) if total else None, block))
                     if len(out) == 256:
