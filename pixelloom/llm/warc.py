@@ -147,7 +147,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         out = []
                 yield batch_of(out)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(parsed, "record_id string, kind string, url string, digest string, refers_to string, origin string, segment int, total long, block binary")
 
 
