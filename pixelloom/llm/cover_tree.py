@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Vectors in a block of candidates and of queries.
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Cells, pairs of a block of queries and one of candidates, are dealt to at most so many tasks.
+MOST_PARTITIONS = 20_000
 #: A node of so many points is not split further.
 LEAF = 48
 #: Ratio of the radii of two levels. Distances of vectors with many components differ little,
@@ -200,7 +202,8 @@ def top_k_inner_product(queries: DataFrame, candidates: DataFrame, k: int = 20,
     right, t_blocks = dealt(candidates, candidate_block)
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)))).select((F.col("block") * t_blocks + F.col("other")).alias("cell"), F.lit(0).alias("side"), "id", "vec")
     right = right.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select((F.col("other") * t_blocks + F.col("block")).alias("cell"), F.lit(1).alias("side"), "id", "vec")
-    cells = left.union(right).repartition("cell").sortWithinPartitions("cell", "side")
+    # a number, so that cells of few bytes but much work aren't put together
+    cells = left.union(right).repartition(min(q_blocks * t_blocks, MOST_PARTITIONS), "cell").sortWithinPartitions("cell", "side")
     found = cells.mapInArrow(_search_blocks(k), "query_id long, vec_id long, score long")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("lost"), "vec_id"))), 1, k).alias("all"))
     return best.select("query_id", F.posexplode("all").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), "x.vec_id", (-F.col("x.lost")).alias("score"))
