@@ -80,33 +80,44 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K, gap_cost: float = GAP_COST,
     The score of a chain is the words its seeds cover less ``gap_cost`` for each word
     between them on either side. With g = score + cost * (x + y), the best predecessor of
     a match is a maximum of g over smaller y: a prefix maximum, kept in a Fenwick tree.
-    Where the maximum lies over ``max_gap`` away the match starts a chain of its own.
+    Where the maximum lies over ``max_gap`` away, or overlaps the match, the predecessors
+    within ``max_gap`` are looked through, so a far one never hides a near one.
     """
     n = len(x)
     rank = np.unique(y, return_inverse=True)[1] + 1
     size = int(rank.max(initial=0))
     tree: list[tuple[float, int]] = [(-1e300, -1)] * (size + 1)
-    score, back = [0.0] * n, [-1] * n
+    score, back = [float(k)] * n, [-1] * n
     xs, ys, ranks = x.tolist(), y.tolist(), rank.tolist()
-    start = 0
+
+    def join(i: int, j: int) -> None:
+        dx, dy = xs[i] - xs[j], ys[i] - ys[j]
+        if 0 < dx <= max_gap and 0 < dy <= max_gap:
+            joined = score[j] + min(k, dx, dy) - gap_cost * (max(0, dx - k) + max(0, dy - k))
+            if joined > score[i]:
+                score[i], back[i] = joined, j
+
+    start = near = 0
     while start < n:
         stop = start
         while stop < n and xs[stop] == xs[start]:
             stop += 1
+        while xs[start] - xs[near] > max_gap:
+            near += 1
         for i in range(start, stop):
             best, r = (-1e300, -1), ranks[i] - 1
             while r:
                 if tree[r] > best:
                     best = tree[r]
                 r &= r - 1
-            score[i] = float(k)
             j = best[1]
-            if j >= 0:
-                dx, dy = xs[i] - xs[j], ys[i] - ys[j]
-                gain = min(k, dx, dy)
-                joined = score[j] + gain - gap_cost * (max(0, dx - k) + max(0, dy - k))
-                if max(dx, dy) <= max_gap and joined > score[i]:
-                    score[i], back[i] = joined, j
+            if j < 0:
+                continue
+            if k <= xs[i] - xs[j] <= max_gap and k <= ys[i] - ys[j] <= max_gap:
+                join(i, j)
+            else:
+                for j in range(near, start):
+                    join(i, j)
         for i in range(start, stop):
             g = (score[i] + gap_cost * (xs[i] + ys[i]), i)
             r = ranks[i]

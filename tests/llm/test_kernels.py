@@ -104,6 +104,12 @@ def test_chains_and_alignment():
     assert max(np.diff(chosen)) <= 12 and chosen[0] < 12
 
 
+def test_a_far_chain_hides_no_near_predecessor():
+    ours, theirs = [np.arange(0, 500, 6), np.arange(600, 1100, 6)], [np.arange(0, 500, 6), np.arange(700, 1200, 6)]
+    found = substring_dedup.chain(np.concatenate(ours), np.concatenate(theirs))
+    assert [len(c) for c in found] == [84, 84]
+
+
 def test_kneser_ney_discounts():
     assert kneser_ney.discounts({}) == (0.5, 1.0, 1.5)
     d = kneser_ney.discounts({1: 100, 2: 40, 3: 20, 4: 10})
