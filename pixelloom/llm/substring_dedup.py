@@ -46,8 +46,9 @@ def minimizers(codes: np.ndarray, window: int) -> np.ndarray:
 def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
     """(seed, id, at) for every minimizer.
 
-    A code that a text repeats is told apart by how many came before it, so repetitive
-    texts match in order.
+    A code that a text repeats is dealt out a second time, told apart by how many came
+    before it: any copy meets the first one of another text, and repetitive texts match
+    in order too.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +67,10 @@ def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
                     new = np.ones(len(found), bool)
                     new[1:] = found[1:] != found[:-1]
                     turn -= np.maximum.accumulate(np.where(new, turn, np.uint64(0)))
-                    seeds.append(np.where(turn > 0, wordhash.mix(found + turn), found))
-                    places.append(at[order])
-                    owners.append(np.full(len(found), ids[start + i], np.int64))
+                    again = np.flatnonzero(turn)
+                    seeds += [found, wordhash.mix(found[again] + turn[again])]
+                    places += [at[order], at[order][again]]
+                    owners.append(np.full(len(found) + len(again), ids[start + i], np.int64))
                 yield pa.record_batch([wordhash.signed(np.concatenate(seeds)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int32))], ["seed", "id", "at"])
 
     return docs.mapInArrow(deal, "seed long, id long, at int")

@@ -78,6 +78,17 @@ def test_passages(spark, docs, none):
     assert substring_dedup.drop_passages(none, substring_dedup.repeated_passages(none)).count() == 0
 
 
+def passage_table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "a", len(t), "x", 1, 2) for i, t in rows], DOCS)
+
+
+def test_both_copies_of_a_passage_go(spark):
+    docs = passage_table(spark, [(1, sentence(40, 20) + " " + PASSAGE), (2, PASSAGE + " " + sentence(80, 21) + " " + PASSAGE)])
+    found = substring_dedup.repeated_passages(docs)
+    assert sorted((r.doc_id, r.source_id, r.start_word, r.end_word) for r in found.collect()) == [(2, 1, 0, 60), (2, 1, 140, 200)]
+    assert {r.doc_id: r.text for r in substring_dedup.drop_passages(docs, found).collect()}[2] == sentence(80, 21)
+
+
 def test_bpe(docs, none):
     rank_path, pattern = registry.ranks()
     encoding = byte_bpe.load_encoding(rank_path, pattern)
