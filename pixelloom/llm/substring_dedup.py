@@ -8,6 +8,10 @@
    Fenwick tree of prefix maxima; then the best of what it leaves, and so on.
 4. Chains are aligned: exact runs are counted, the gaps between them aligned by edit
    distance within a band. Long and similar ones are passages.
+5. Other documents may take the seeds of a passage from the one that has all of it. So
+   every run of words as long as a passage that step 4 left open meets the smallest
+   document with just that run: longer minimizers, of which such a run always has one,
+   tell where, and each run around them is dealt out by the hash of all its words.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -43,7 +47,7 @@ def minimizers(codes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(len(codes) - 1 - (np.arange(len(low)) + low))
 
 
-def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
+def _seeds(docs: DataFrame, k: int, window: int, turns: bool = True) -> DataFrame:
     """(seed, id, at) for every minimizer.
 
     A code that a text repeats is dealt out a second time, told apart by how many came
@@ -67,7 +71,7 @@ def _seeds(docs: DataFrame, k: int, window: int) -> DataFrame:
                     new = np.ones(len(found), bool)
                     new[1:] = found[1:] != found[:-1]
                     turn -= np.maximum.accumulate(np.where(new, turn, np.uint64(0)))
-                    again = np.flatnonzero(turn)
+                    again = np.flatnonzero(turn) if turns else np.zeros(0, np.int64)
                     seeds += [found, wordhash.mix(found[again] + turn[again])]
                     places += [at[order], at[order][again]]
                     owners.append(np.full(len(found) + len(again), ids[start + i], np.int64))
@@ -211,23 +215,8 @@ def _pair_runs(max_gap: int, k: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """``(doc_id, start_word, end_word, source_id, source_start, source_end, n_same)``.
-
-    A row for every passage of at least ``min_words`` words of a document that also
-    stands, word for word or nearly, in the document ``source_id`` with a smaller id.
-    Word positions count from 0, ends are exclusive; ``n_same`` words agree. The source
-    never lists that seed itself, so one copy of every passage has no row. Words are
-    compared in lower case (A-Z). Null and empty texts have no passage, nor have texts
-    with a null id; rows that repeat an id are read as that id's versions, and a passage is
-    not reported against its own id. Other columns aren't read. An empty table gives none.
-    """
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    seeds = _seeds(read, k, window)
-    shared = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("seed", F.col("m.id").alias("leader"), F.col("m.at").alias("leader_at"))
-    matches = seeds.join(shared, "seed").where("id <> leader").select("id", "leader", "at", "leader_at")
-    found = matches.repartition("id", "leader").sortWithinPartitions("id", "leader", "at", "leader_at").mapInArrow(_pair_runs(MAX_GAP, k), "id long, leader long, low int, high int, leader_low int, leader_high int, x array<int>, y array<int>")
-    chains = stored(found.where(F.greatest(F.col("high") - F.col("low"), F.col("leader_high") - F.col("leader_low")) + k + 2 * (window + k) >= min_words), "passage-chains")
+def _aligned(read: DataFrame, chains: DataFrame, k: int, min_words: int, min_identity: float) -> DataFrame:
+    """The passages among stored ``chains``, without repeats."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,6 +256,72 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return both.mapInArrow(aligned, "doc_id long, start_word long, end_word long, source_id long, source_start long, source_end long, n_same long").dropDuplicates()
 
 
+def _whole_runs(read: DataFrame, found: DataFrame, min_words: int, k: int) -> DataFrame:
+    """Chains, of one anchor each, of the runs of ``min_words`` words that ``found`` leaves open.
+
+    Every such run that stands word for word in a smaller document is in one of them, with
+    the smallest document that has this run.
+    """
+    long = (min_words + 1) // 2
+    span = min_words - long + 1
+    seeds = _seeds(read, long, span, turns=False)
+    shared = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("high")).where("least < high").select("seed", "least")
+    held = stored(seeds.join(shared, "seed"), "passage-holders")
+    covered = found.select(F.col("doc_id").alias("id"), "start_word", "end_word").distinct()
+    inside = (F.col("start_word") <= F.greatest(F.lit(0), F.col("at") - span + 1)) & (F.col("end_word") >= F.col("at") + min_words)
+    open_seeds = held.where("id > least").join(covered.hint("merge"), (held["id"] == covered["id"]) & inside, "left_anti").select("seed").distinct()
+    places = held.join(open_seeds.hint("merge"), "seed", "left_semi").groupBy("id").agg(F.collect_set("at").alias("places"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, rows, data, offsets in wordhash.text_chunks(batch.column(1)):
+                hashes, _, _, first = wordhash.words(data, offsets)
+                codes, bounds = wordhash.grams(hashes, first, min_words)
+                runs, owners, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i in range(rows):
+                    at = np.array(batch.column(2)[start + i].as_py())
+                    at = np.unique(at[:, None] - np.arange(span))
+                    at = at[(at >= 0) & (at < bounds[i + 1] - bounds[i])]
+                    runs.append(codes[bounds[i] + at])
+                    starts.append(at)
+                    owners.append(np.full(len(at), ids[start + i], np.int64))
+                yield pa.record_batch([wordhash.signed(np.concatenate(runs)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(starts).astype(np.int32))], ["run", "id", "at"])
+
+    runs = stored(read.join(places.hint("merge"), "id").select("id", "text", "places").mapInArrow(deal, "run long, id long, at int"), "passage-runs")
+    leaders = runs.groupBy("run").agg(F.min(F.struct("id", "at")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("run", F.col("m.id").alias("leader"), F.col("m.at").alias("leader_at"))
+    hits = runs.join(leaders, "run").where("id <> leader").select("id", "leader", "at", (F.col("at") - F.col("leader_at")).alias("shift"))
+    islands = hits.withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy("id", "leader", "shift").orderBy("at")))
+    one = islands.groupBy("id", "leader", "shift", "island").agg(F.min("at").alias("low"), F.max("at").alias("last"))
+    own = one.select("id", "leader", "low", (F.col("last") + min_words - k).alias("high"), "shift").withColumns({"leader_low": F.col("low") - F.col("shift"), "leader_high": F.col("high") - F.col("shift")})
+    return own.select("id", "leader", "low", "high", "leader_low", "leader_high", F.array("low").alias("x"), F.array("leader_low").alias("y"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
+    """``(doc_id, start_word, end_word, source_id, source_start, source_end, n_same)``.
+
+    A row for every passage of at least ``min_words`` words of a document that also
+    stands, word for word or nearly, in the document ``source_id`` with a smaller id.
+    Word positions count from 0, ends are exclusive; ``n_same`` words agree. The source
+    never lists that seed itself, so one copy of every passage has no row. Words are
+    compared in lower case (A-Z). Null and empty texts have no passage, nor have texts
+    with a null id; rows that repeat an id are read as that id's versions, and a passage is
+    not reported against its own id. Other columns aren't read. An empty table gives none.
+    """
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    seeds = _seeds(read, k, window)
+    shared = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("seed", F.col("m.id").alias("leader"), F.col("m.at").alias("leader_at"))
+    matches = seeds.join(shared, "seed").where("id <> leader").select("id", "leader", "at", "leader_at")
+    found = matches.repartition("id", "leader").sortWithinPartitions("id", "leader", "at", "leader_at").mapInArrow(_pair_runs(MAX_GAP, k), "id long, leader long, low int, high int, leader_low int, leader_high int, x array<int>, y array<int>")
+    chains = stored(found.where(F.greatest(F.col("high") - F.col("low"), F.col("leader_high") - F.col("leader_low")) + k + 2 * (window + k) >= min_words), "passage-chains")
+
+    found = stored(_aligned(read, chains, k, min_words, min_identity), "passages")
+    rest = _aligned(read, stored(_whole_runs(read, found, min_words, k), "passage-runs-left"), k, min_words, min_identity)
+    known = found.select(F.col("doc_id").alias("known"), F.col("start_word").alias("known_start"), F.col("end_word").alias("known_end")).distinct()
+    rest = rest.join(known.hint("merge"), (F.col("doc_id") == F.col("known")) & (F.col("known_start") <= F.col("start_word")) & (F.col("known_end") >= F.col("end_word")), "left_anti")
+    return found.union(rest)
+
+
 def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the words of ``passages``; all columns kept, a text left bare is dropped.
 

@@ -82,6 +82,14 @@ def passage_table(spark, rows):
     return spark.createDataFrame([(i, t, "en", "a", len(t), "x", 1, 2) for i, t in rows], DOCS)
 
 
+def test_smaller_documents_hide_no_source(spark):
+    one, two = sentence(30, 30), sentence(30, 31)
+    rows = [(3, sentence(40, 32) + " " + one + " " + sentence(40, 33)), (7, two + " " + sentence(60, 34))]
+    rows += [(i, sentence(50, i) + " " + one + " " + two + " " + sentence(50, i + 1)) for i in (100, 200)]
+    found = substring_dedup.repeated_passages(passage_table(spark, rows))
+    assert [tuple(r) for r in found.collect()] == [(200, 50, 110, 100, 50, 110, 60)]
+
+
 def test_both_copies_of_a_passage_go(spark):
     docs = passage_table(spark, [(1, sentence(40, 20) + " " + PASSAGE), (2, PASSAGE + " " + sentence(80, 21) + " " + PASSAGE)])
     found = substring_dedup.repeated_passages(docs)
