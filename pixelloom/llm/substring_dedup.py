@@ -7,7 +7,8 @@
 3. Matches of a pair are chained: the best collinear chain under linear gap costs, by a
    Fenwick tree of prefix maxima; then the best of what it leaves, and so on.
 4. Chains are aligned: exact runs are counted, the gaps between them aligned by edit
-   distance within a band. Long and similar ones are passages.
+   distance within a band. Ends are extended through changed words, from one seed too.
+   Long and similar ones are passages.
 5. Other documents may take the seeds of a passage from the one that has all of it. So
    every run of words as long as a passage that step 4 left open meets the smallest
    document with just that run: longer minimizers, of which such a run always has one,
@@ -35,8 +36,12 @@ MIN_IDENTITY = 0.8
 GAP_COST = 0.2
 #: Seeds further apart than this many words never join one chain.
 MAX_GAP = 64
-#: Words beside a chain that are looked at for its exact ends.
-MARGIN = 32
+#: Words beside a chain that are looked at for its ends.
+MARGIN = 64
+#: Words that have to agree for a changed one between an end and its extension: at first, then where too few of all agree.
+PRICES = (2, 4)
+#: Changed words that nothing has paid for at which an end is settled.
+DROP = 6
 
 
 def minimizers(codes: np.ndarray, window: int) -> np.ndarray:
@@ -177,6 +182,50 @@ def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], k: int =
     return start_a, end_a, start_b, end_b, same
 
 
+def extend(a: list[int], b: list[int], price: int = PRICES[-1]) -> tuple[int, int, int]:
+    """(words of a, of b, words that agree) of the best common start of both, changed words allowed.
+
+    The best is where the words that agree less ``price`` for each other one are most, so
+    ``1 / (1 + price)`` of a long start may differ. The furthest place on each diagonal is
+    kept for every number of changes (Landau and Vishkin).
+    """
+    reach, best, score, changes = {0: (0, 0)}, (0, 0, 0), 0, 0
+    while reach:
+        ahead = {}
+        for d, (x, same) in reach.items():
+            y, start = x - d, x
+            while x < len(a) and y < len(b) and a[x] == b[y]:
+                x, y = x + 1, y + 1
+            same += x - start
+            value = same - price * changes
+            if value > score:
+                score, best = value, (x, y, same)
+            if value > score - price * DROP:
+                for step, i, j in ((d, x + 1, y + 1), (d + 1, x + 1, y), (d - 1, x, y + 1)):
+                    if i <= len(a) and j <= len(b) and (i, same) > ahead.get(step, (-1, 0)):
+                        ahead[step] = (i, same)
+        reach, changes = ahead, changes + 1
+    return best
+
+
+def passage(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], k: int = K, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> tuple[int, int, int, int, int]:
+    """As :func:`align`, then both ends extended through changed words, less far where too few of all would agree.
+
+    What stays under ``min_words`` at the lowest price isn't tried at a higher one, which reaches less far.
+    """
+    start_a, end_a, start_b, end_b, same = align(a, b, anchors, k)
+    ends = a[:start_a][::-1].tolist(), b[:start_b][::-1].tolist(), a[end_a:].tolist(), b[end_b:].tolist()
+    for price in PRICES:
+        left, left_b, more = extend(*ends[:2], price)
+        right, right_b, most = extend(*ends[2:], price)
+        found = start_a - left, end_a + right, start_b - left_b, end_b + right_b, same + more + most
+        if found[4] >= min_identity * max(found[1] - found[0], found[3] - found[2]):
+            return found
+        if found[1] - found[0] < min_words:
+            break
+    return start_a, end_a, start_b, end_b, same
+
+
 def _pair_runs(max_gap: int, k: int):
     """mapInArrow over rows (id, leader, at, leader_at) sorted by id, leader, at: chained pairs."""
 
@@ -191,12 +240,9 @@ def _pair_runs(max_gap: int, k: int):
                 edges = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
                 for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cols[0])], strict=True):
                     x, y = cols[2][a:b], cols[3][a:b]
-                    if b - a < 2:
-                        continue
                     for path in chain(x, y, k, GAP_COST, max_gap):
                         px, py = x[path], y[path]
-                        if len(path) > 1:
-                            out.append((int(cols[0][a]), int(cols[1][a]), int(px[0]), int(px[-1]), int(py[0]), int(py[-1]), px.tolist(), py.tolist()))
+                        out.append((int(cols[0][a]), int(cols[1][a]), int(px[0]), int(px[-1]), int(py[0]), int(py[-1]), px.tolist(), py.tolist()))
             return pa.record_batch([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names)
 
         for batch in batches:
@@ -240,6 +286,7 @@ def _aligned(read: DataFrame, chains: DataFrame, k: int, min_words: int, min_ide
     both = with_source.join(coded, "id").select("id", "leader", first.alias("first"), "leader_first", "x", "y", cut_words.alias("own"), "leader_words")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, seen = None, []
         for batch in batches:
             out = []
             for me, leader, first, leader_first, x, y, own, other in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -247,13 +294,19 @@ def _aligned(read: DataFrame, chains: DataFrame, k: int, min_words: int, min_ide
                 anchors = [(i - first, j - leader_first) for i, j in zip(x, y, strict=True) if i - first + k <= len(a) and j - leader_first + k <= len(b)]
                 if not anchors:
                     continue
-                s, e, t, u, same = align(a, b, anchors, k)
+                if (me, leader) != pair:
+                    pair, seen = (me, leader), []
+                ends = [(i + first, j + leader_first) for i, j in (anchors[0], anchors[-1])]
+                if any(all(s <= i and i + k <= e and t <= j and j + k <= u and min(t - s, u - e) <= j - i <= max(t - s, u - e) for i, j in ends) for s, e, t, u in seen):
+                    continue  # a chain inside a passage, on its path: extended, it gives that passage again
+                s, e, t, u, same = passage(a, b, anchors, k, min_words, min_identity)
                 if e - s >= min_words and same >= min_identity * max(e - s, u - t):
                     out.append((me, s + first, e + first, leader, t + leader_first, u + leader_first, same))
+                    seen.append((s + first, e + first, t + leader_first, u + leader_first))
             columns = zip(*out, strict=True) if out else [[]] * 7
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "start_word", "end_word", "source_id", "source_start", "source_end", "n_same"])
 
-    return both.mapInArrow(aligned, "doc_id long, start_word long, end_word long, source_id long, source_start long, source_end long, n_same long").dropDuplicates()
+    return both.sortWithinPartitions("id", "leader", F.desc(F.size("x"))).mapInArrow(aligned, "doc_id long, start_word long, end_word long, source_id long, source_start long, source_end long, n_same long").dropDuplicates()
 
 
 def _whole_runs(read: DataFrame, found: DataFrame, min_words: int, k: int) -> DataFrame:
@@ -306,15 +359,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     never lists that seed itself, so one copy of every passage has no row. Words are
     compared in lower case (A-Z). Null and empty texts have no passage, nor have texts
     with a null id; rows that repeat an id are read as that id's versions, and a passage is
-    not reported against its own id. Other columns aren't read. An empty table gives none.
+    not reported against its own id. Rows of a document may overlap. Other columns aren't read. An empty table gives none.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     seeds = _seeds(read, k, window)
     shared = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("seed", F.col("m.id").alias("leader"), F.col("m.at").alias("leader_at"))
     matches = seeds.join(shared, "seed").where("id <> leader").select("id", "leader", "at", "leader_at")
     found = matches.repartition("id", "leader").sortWithinPartitions("id", "leader", "at", "leader_at").mapInArrow(_pair_runs(MAX_GAP, k), "id long, leader long, low int, high int, leader_low int, leader_high int, x array<int>, y array<int>")
-    chains = stored(found.where(F.greatest(F.col("high") - F.col("low"), F.col("leader_high") - F.col("leader_low")) + k + 2 * (window + k) >= min_words), "passage-chains")
-
+    chains = stored(found, "passage-chains")
     found = stored(_aligned(read, chains, k, min_words, min_identity), "passages")
     rest = _aligned(read, stored(_whole_runs(read, found, min_words, k), "passage-runs-left"), k, min_words, min_identity)
     known = found.select(F.col("doc_id").alias("known"), F.col("start_word").alias("known_start"), F.col("end_word").alias("known_end")).distinct()

@@ -110,6 +110,15 @@ def test_a_far_chain_hides_no_near_predecessor():
     assert [len(c) for c in found] == [84, 84]
 
 
+def test_ends_are_extended_through_changed_words():
+    a = np.concatenate([np.arange(1000, 1040), np.arange(60), np.arange(2000, 2040)])
+    b = np.concatenate([np.arange(3000, 3030), np.arange(60), np.arange(4000, 4030)])
+    b[30 + np.array([6, 13, 20, 36, 43, 52])] = -1
+    assert substring_dedup.passage(a, b, [(64, 54)]) == (40, 100, 30, 90, 54)
+    assert substring_dedup.extend([1, 2, 3, 9, 4, 5, 6, 7, 8], [1, 2, 3, 4, 5, 6, 7, 8, 0]) == (9, 8, 8)
+    assert substring_dedup.extend([1, 2, 9, 3], [1, 2, 8, 3]) == (2, 2, 2) and substring_dedup.extend([], [1]) == (0, 0, 0)
+
+
 def test_kneser_ney_discounts():
     assert kneser_ney.discounts({}) == (0.5, 1.0, 1.5)
     d = kneser_ney.discounts({1: 100, 2: 40, 3: 20, 4: 10})
