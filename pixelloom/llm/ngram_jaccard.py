@@ -51,6 +51,17 @@ def _share(n: float) -> float:
     return next(share for most, share in TIERS if n <= most)
 
 
+def _shares(n: int, percent: int) -> list[float]:
+    """The shares that a set of ``n`` and a partner both deal out: of each pair the smaller one, for every size of a partner."""
+    least = _share(100 * n / percent)
+    return sorted({share for _, share in TIERS if least <= share <= _share(n)})
+
+
+def _with_share(grams: np.ndarray, share: float) -> np.ndarray:
+    """Grams as keys of blocks that only sets with the same share meet in."""
+    return wordhash.mix(grams.view(np.uint64) ^ np.uint64(int(share * 2**32))).view(np.int64)
+
+
 def _sampled(grams: np.ndarray, share: float) -> np.ndarray:
     """Those of sorted ``grams`` below the limit of ``share``."""
     return grams if share >= 1 else grams[: np.searchsorted(grams, np.uint64(int(share * 2**64)))]
@@ -70,11 +81,11 @@ def _key(mark: bytes) -> int:
     return int.from_bytes(mark[:8], "little", signed=True)
 
 
-def _classes(docs: DataFrame, n: int) -> DataFrame:
+def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(id, n, m, digest, key) of every text.
 
-    m of the n grams are in the sample that any partner deals out too; key is the first
-    half of the digest.
+    m has how many of the n grams are in the sample of each of its :func:`_shares`; key is
+    the first half of the digest.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +93,11 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
             sizes, sampled, marks = [], [], []
             for grams in wordhash.gram_sets(batch.column(1), n):
                 sizes.append(len(grams))
-                sampled.append(len(_sampled(grams, _share(1.25 * len(grams)))))
+                sampled.append([len(_sampled(grams, share)) for share in _shares(len(grams), percent)])
                 marks.append(_digest(grams))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sampled, pa.int64()), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64())], ["id", "n", "m", "digest", "key"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sampled, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64())], ["id", "n", "m", "digest", "key"])
 
-    return docs.mapInArrow(digests, "id long, n long, m long, digest binary, key long")
+    return docs.mapInArrow(digests, "id long, n long, m array<long>, digest binary, key long")
 
 
 def _dealt(docs: DataFrame, n: int) -> DataFrame:
@@ -120,9 +131,10 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(percent: int):
-    """mapInArrow over rows (key, df, gram, n) sorted by key, df, gram.
+    """mapInArrow over rows (key, df, gram, n, m) sorted by key, df, gram.
 
-    Of each class that may have a partner: (gram, key) of the rarest sampled n-grams.
+    Of each class that may have a partner: (gram, key) of the rarest sampled n-grams, by
+    each share that it may have in common with a partner.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,17 +146,16 @@ def _rarest(percent: int):
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cols[0])], strict=True):
                 if a == b:
                     continue
-                n, m = int(cols[3][a]), int(cols[4][a])
-                share = _share(1.25 * n)
-                grams = cols[2][a:b]
-                grams = grams[np.sort(np.unique(grams, return_index=True)[1])]
-                if share < 1:
-                    grams = grams[grams.view(np.uint64) < np.uint64(int(share * 2**64))]
-                missable = _missable(n, share, percent)
-                if len(grams) >= max(1, m - missable):
-                    first = missable + 1 - (m - len(grams))  # the unshared ones are the rarest
-                    out.append(grams[: max(1, first)])
-                    keys.append(np.full(len(out[-1]), cols[0][a]))
+                n = int(cols[3][a])
+                shared = cols[2][a:b]
+                shared = shared[np.sort(np.unique(shared, return_index=True)[1])]
+                for m, share in zip(cols[4][a].tolist(), _shares(n, percent), strict=True):
+                    grams = shared if share >= 1 else shared[shared.view(np.uint64) < np.uint64(int(share * 2**64))]
+                    missable = _missable(n, share, percent)
+                    if len(grams) >= max(1, m - missable):
+                        first = missable + 1 - (m - len(grams))  # the unshared ones are the rarest
+                        out.append(_with_share(grams[: max(1, first)], share))
+                        keys.append(np.full(len(out[-1]), cols[0][a]))
             return pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (out, keys)], ["gram", "key"])
 
         for batch in batches:
@@ -280,7 +291,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     read = source.where("id IS NOT NULL")
-    members = stored(_classes(read, n), "jaccard-members")
+    members = stored(_classes(read, n, percent), "jaccard-members")
     classes = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("key").alias("key"))
     dealt = _dealt(read, n)
     shared = dealt.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")

@@ -65,6 +65,16 @@ def test_jaccard(docs, none):
     assert None not in found and ngram_jaccard.jaccard_groups(none).count() == 0
 
 
+def test_jaccard_across_tiers(spark):
+    rows = []
+    for case, size in enumerate([40, 50, 100, 125, 240, 300] * 4):
+        text = sentence(size + 6, 1000 + case)
+        rows += [(2 * case, " ".join(text.split()[: size + 4])), (2 * case + 1, text)]
+    found = {r.id: r.n_links for r in ngram_jaccard.jaccard_groups(passage_table(spark, rows)).collect()}
+    sets = [{tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for _, t in rows]
+    assert found == {i: sum(j != i and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)} and sum(found.values()) >= 40
+
+
 def test_passages(spark, docs, none):
     found = substring_dedup.repeated_passages(docs)
     rows = {(r.doc_id, r.source_id): r for r in found.collect()}
