@@ -28,7 +28,7 @@ def _files(spark, sf_dir) -> DataFrame:
     coded = packed.select("image_id", I.encode(I.as_image(packed), "jpeg", 60)["data"].alias("plain")).join(part, "image_id")
     tags = F.map_from_arrays(
         F.array(*[F.lit(k) for k in ("Make", "Model", "Orientation", "ISO", "FNumber", "ExposureTime", "date", "gps", "Artist")]),
-        F.array(F.lit("Loom"), "p_brand", (F.col("p_size") % 8 + 1).cast("string"), (F.col("image_id") * 100).cast("string"), F.concat((F.col("p_size") + 10).cast("string"), F.lit("/10")), F.concat(F.lit("1/"), (F.col("p_size") * 10).cast("string")), F.lit("2024:05:06 07:08:09"), F.concat((F.col("image_id") % 90).cast("string"), F.lit(".5,-"), (F.col("image_id") % 180).cast("string"), F.lit(".25,12")), "p_name"),
+        F.array(F.lit("Loom"), "p_brand", (F.col("p_size") % 8 + 1).cast("string"), (F.col("image_id") * 100 % 65536).cast("string"), F.concat((F.col("p_size") + 10).cast("string"), F.lit("/10")), F.concat(F.lit("1/"), (F.col("p_size") * 10).cast("string")), F.lit("2024:05:06 07:08:09"), F.concat((F.col("image_id") % 90).cast("string"), F.lit(".5,-"), (F.col("image_id") % 180).cast("string"), F.lit(".25,12")), "p_name"),
     )
     with_exif = coded.select("image_id", "p_name", "p_brand", "p_size", "plain", M.set_tags(F.col("plain"), tags)["data"].alias("content"))
     items = F.array(F.struct(F.lit("Keywords").alias("name"), F.col("p_name").alias("value")), F.struct(F.lit("Keywords").alias("name"), F.col("p_brand").alias("value")), F.struct(F.lit("By-line").alias("name"), F.lit("Ann").alias("value")))

@@ -172,3 +172,12 @@ def test_maker_notes():
     for tiff in (canon, nikon, panasonic, fuji, apple):
         for cut in range(8, len(tiff), 5):
             columns.metadata_of(tiff[:cut])
+
+
+def test_files_of_large_ids(spark, tmp_path):
+    from pixelloom.plans import meta_queries
+
+    rows = [(i, f"part {i}", "Brand#12", 7) for i in (655, 656, 20000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = {r.image_id: r for r in meta_queries._round_trip(spark, str(tmp_path)).collect()}
+    assert {i: (r.iso, r.is_valid) for i, r in found.items()} == {i: (str(i * 100 % 65536), True) for i in (655, 656, 20000)}
