@@ -20,7 +20,8 @@ _EXACT = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 CHUNK_BYTES = 1 << 21
-_powers: list[np.ndarray] = []
+#: Powers of the base that stay in memory: one for each byte of a word up to this length.
+KEPT_POWERS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,13 +31,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES) + 1
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, b, np.uint64)])) for b in (_BASE, inverse)]
-    return _powers
+def _power(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base."""
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _BASE)]))
+
+
+_POWERS = _power(KEPT_POWERS)
 
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,10 +72,15 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     inner = offsets[(offsets > 0) & (offsets <= n)]
     stop[inner - 1] = True
     ends = np.flatnonzero(~space & stop) + 1
-    power, inverse = _tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _EXACT)[data] * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    inside = np.flatnonzero(~space).astype(np.int32 if n < 1 << 31 else np.int64)
+    place = np.arange(len(inside), dtype=inside.dtype) - np.repeat(first.astype(inside.dtype), lengths)
+    longest = int(lengths.max(initial=0))
+    power = _POWERS if longest <= KEPT_POWERS else _power(longest)
+    terms = (_LOWER if lower else _EXACT)[data[inside]] * power[place]
+    total = np.add.reduceat(terms, first) if len(first) else np.zeros(0, np.uint64)
+    hashes = mix(total + lengths.astype(np.uint64) * _STEP)
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
