@@ -1,26 +1,29 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip).
 
-1. Texts with equal n-gram sets form a class, kept by its smallest id.
-2. N-grams are hashes, so those below a limit are a random sample, and the same for
-   every text. Each class deals its sample out by n-gram; small texts have a larger
-   sample, up to all. A class whose sampled n-grams are too rarely shared to reach the
-   needed overlap with any partner has no link and leaves here.
-3. The others are joined into blocks through their rarest sampled n-grams: as many as a
-   partner may miss and one more. No link leaves a block. Blocks that are too large
-   are cut into a grid of pairs of pieces.
-4. In each block, inverted lists answer one T-occurrence query per class: the
-   longest lists are set aside, the short ones merged, and the candidates probed
-   in the long ones by binary search. Overlaps and links are then exact.
-
-Step 2 allows a partner to miss its expected share of the sample and seven standard
-deviations more, or to share just one of many: a link is lost in it with a probability
-of about 1e-10, where texts are small, or far less. Steps 3 and 4 lose none.
+1. Texts with equal n-gram sets form a class, known by a digest of the set. The same
+   pass counts n-grams in a sketch of fixed size, summed over all texts.
+2. One order holds for all n-grams: by the sketch's count, then by the n-gram, so those
+   that many texts share come last. Each class deals out the first ones, as many as a
+   partner may miss and one more; two classes that link always share one of these,
+   whatever the counts are. Where they do and their sizes allow a link, they are joined;
+   the connected classes are a block. Blocks that are too large are cut into a grid of
+   pairs of pieces.
+3. In each block, inverted lists answer one T-occurrence query per class: the longest
+   lists are set aside, the short ones merged through a heap of their heads that skips
+   ids which too few lists can hold, and the candidates probed in the long ones by
+   binary search. Overlaps and links are then exact.
+
+No step loses a link. N-grams are 64-bit hashes: two different ones of a pair of texts
+agree with a probability of about 5e-20 for each pair of n-grams. Classes are told apart
+by 128 bits, and by 64 within blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +35,17 @@ from . import wordhash
 from .components import connected_components
 from .storage import cut, stored
 
-#: (texts of up to so many n-grams, share of all n-grams that they deal out).
-TIERS = ((50, 1.0), (125, 0.5), (300, 0.25), (math.inf, 0.2))
-#: Standard deviations by which a partner may miss more sampled n-grams than expected.
-SIGMAS = 7
+#: Counters of the sketch, and the parts in which tasks hand it over.
+SKETCH = 1 << 20
+SLICES = 64
 #: N-grams of a block's pieces that one task holds at once.
-PIECE_GRAMS = 3_000_000
+PIECE_GRAMS = 1_000_000
 #: Constant of the DivideSkip paper's rule for the number of long lists.
 MU = 0.0085
+#: Postings that are counted at once; more are merged through the heap, so many ids at a time.
+STRETCH = 1 << 18
+#: A binary search costs about as much as reading so many postings.
+PROBE = 25
 
 
 def _least(percent: int, n: int) -> int:
@@ -47,30 +53,9 @@ def _least(percent: int, n: int) -> int:
     return -(-percent * n // 100)
 
 
-def _share(n: float) -> float:
-    return next(share for most, share in TIERS if n <= most)
-
-
-def _shares(n: int, percent: int) -> list[float]:
-    """The shares that a set of ``n`` and a partner both deal out: of each pair the smaller one, for every size of a partner."""
-    least = _share(100 * n / percent)
-    return sorted({share for _, share in TIERS if least <= share <= _share(n)})
-
-
-def _with_share(grams: np.ndarray, share: float) -> np.ndarray:
-    """Grams as keys of blocks that only sets with the same share meet in."""
-    return wordhash.mix(grams.view(np.uint64) ^ np.uint64(int(share * 2**32))).view(np.int64)
-
-
-def _sampled(grams: np.ndarray, share: float) -> np.ndarray:
-    """Those of sorted ``grams`` below the limit of ``share``."""
-    return grams if share >= 1 else grams[: np.searchsorted(grams, np.uint64(int(share * 2**64)))]
-
-
-def _missable(n: int, share: float, percent: int) -> int:
-    """Sampled n-grams of a set of ``n`` that a partner may lack."""
-    most = n - _least(percent, n)
-    return most if share >= 1 else min(most, math.floor(most * share + SIGMAS * math.sqrt(most * share * (1 - share))))
+def prefix_lengths(percent: int, n: int) -> tuple[int, int]:
+    """N-grams of a set of ``n`` that meet a partner's: a smaller one's, and one's at least as large."""
+    return n - _least(percent, n) + 1, n + (-2 * percent * n // (100 + percent)) + 1
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -81,93 +66,121 @@ def _key(mark: bytes) -> int:
     return int.from_bytes(mark[:8], "little", signed=True)
 
 
-def _classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(id, n, m, digest, key) of every text.
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(SKETCH - 1)).astype(np.int64)
+
 
-    m has how many of the n grams are in the sample of each of its :func:`_shares`; key is
-    the first half of the digest.
+def _classes(docs: DataFrame, n: int) -> DataFrame:
+    """(id, n, digest, key) of every text, and (slice, counts) of each task's sketch.
+
+    key is the first half of the digest. A set that a task meets again isn't counted again.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, seen = np.zeros(SKETCH, np.uint32), set()
+        names = ["id", "n", "digest", "key", "slice", "counts"]
         for batch in batches:
-            sizes, sampled, marks = [], [], []
+            sizes, marks, fresh = [], [], [np.zeros(0, np.int64)]
             for grams in wordhash.gram_sets(batch.column(1), n):
                 sizes.append(len(grams))
-                sampled.append([len(_sampled(grams, share)) for share in _shares(len(grams), percent)])
-                marks.append(_digest(grams))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sampled, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64())], ["id", "n", "m", "digest", "key"])
+                marks.append(mark := _digest(grams))
+                if _key(mark) not in seen:
+                    seen.add(_key(mark))
+                    fresh.append(_cells(grams))
+            sketch += np.bincount(np.concatenate(fresh), minlength=SKETCH).astype(np.uint32)
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names)
+        parts = [(i, part) for i, part in enumerate(np.split(sketch, SLICES)) if part.any()]
+        empty = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+        yield pa.record_batch([*empty, pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1) for _, part in parts], pa.binary())], names)
 
-    return docs.mapInArrow(digests, "id long, n long, m array<long>, digest binary, key long")
+    return docs.mapInArrow(digests, "id long, n long, digest binary, key long, slice int, counts binary")
 
 
-def _dealt(docs: DataFrame, n: int) -> DataFrame:
-    """(gram, key of the class): the sample of each text; equal texts of a batch once."""
+def _summed(members: DataFrame) -> np.ndarray:
+    """The sketch of all texts: ``SKETCH`` numbers, whatever the input."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            out, keys, lengths, seen = [], [], [], set()
-            for grams in wordhash.gram_sets(batch.column(0), n):
-                if not len(grams) or (mark := _digest(grams)) in seen:
-                    continue
-                seen.add(mark)
-                out.append(_sampled(grams, _share(len(grams))))
-                keys.append(_key(mark))
-                lengths.append(len(out[-1]))
-            if out:
-                yield pa.record_batch([wordhash.signed(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), lengths))], ["gram", "key"])
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(counts.as_buffer()), "<u4")
+                sums[i] = sums[i] + part if i in sums else part.astype(np.uint64)
+        yield pa.record_batch([pa.array(sums, pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
-    return docs.select("text").mapInArrow(deal, "gram long, key long")
+    parts = members.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect()
+    sketch = np.zeros((SLICES, SKETCH // SLICES), np.uint32)
+    for row in parts:
+        sketch[row["slice"]] = np.frombuffer(row["counts"], "<u4")
+    return sketch.reshape(-1)
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, key, df) that a batch repeats, once; as they come sorted by gram, nearly all."""
-    for batch in batches:
-        if batch.num_rows:
-            gram, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            order = np.lexsort((key, gram))
-            new = np.ones(len(order), bool)
-            new[1:] = (np.diff(gram[order]) != 0) | (np.diff(key[order]) != 0)
-            yield batch.take(pa.array(np.sort(order[new])))
+def ordered(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Sorted ``grams`` in the order that all texts share: rarest first, as far as the sketch tells."""
+    counts = np.minimum(sketch[_cells(grams)], np.uint32((1 << 24) - 1)).astype(np.uint64)
+    return grams[np.argsort(counts << np.uint64(40) | grams >> np.uint64(24), kind="stable")]
 
 
-def _rarest(percent: int):
-    """mapInArrow over rows (key, df, gram, n, m) sorted by key, df, gram.
+def _dealt(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
+    """(gram, size, key, other) of each class's first n-grams.
 
-    Of each class that may have a partner: (gram, key) of the rarest sampled n-grams, by
-    each share that it may have in common with a partner.
+    size is twice the set's size, one more where the n-gram is too late for partners that are
+    larger. Of the classes of a batch that agree in n-gram and size the first is dealt out;
+    the rest are joined with it here: rows with ``other``, dealt by key.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def chosen(cols: list[np.ndarray]) -> pa.RecordBatch:
-            out, keys = [], []
-            edges = np.flatnonzero(np.diff(cols[0])) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cols[0])], strict=True):
-                if a == b:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        order = sketch.value
+        for batch in batches:
+            out, sizes, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for grams in wordhash.gram_sets(batch.column(0), n):
+                if not len(grams) or (key := _key(_digest(grams))) in seen:
                     continue
-                n = int(cols[3][a])
-                shared = cols[2][a:b]
-                shared = shared[np.sort(np.unique(shared, return_index=True)[1])]
-                for m, share in zip(cols[4][a].tolist(), _shares(n, percent), strict=True):
-                    grams = shared if share >= 1 else shared[shared.view(np.uint64) < np.uint64(int(share * 2**64))]
-                    missable = _missable(n, share, percent)
-                    if len(grams) >= max(1, m - missable):
-                        first = missable + 1 - (m - len(grams))  # the unshared ones are the rarest
-                        out.append(_with_share(grams[: max(1, first)], share))
-                        keys.append(np.full(len(out[-1]), cols[0][a]))
-            return pa.record_batch([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (out, keys)], ["gram", "key"])
+                seen.add(key)
+                probed, indexed = prefix_lengths(percent, len(grams))
+                out.append(ordered(grams, order)[:probed])
+                size = np.full(probed, 2 * len(grams) + 1)
+                size[:indexed] -= 1
+                sizes.append(size)
+                keys.append(np.full(probed, key))
+            gram, size, key = np.concatenate(out).view(np.int64), np.concatenate(sizes), np.concatenate(keys)
+            by = np.lexsort((size, gram))
+            gram, size, key = gram[by], size[by], key[by]
+            first = np.ones(len(gram), bool)
+            first[1:] = (gram[1:] != gram[:-1]) | (size[1:] != size[:-1])
+            leader = key[np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0))] if len(gram) else key
+            yield pa.record_batch([pa.array(gram[first]), pa.array(size[first]), pa.array(key[first]), pa.nulls(int(first.sum()), pa.int64())], ["gram", "size", "key", "other"])
+            pairs = np.unique(np.stack([key[~first], leader[~first]]), axis=1) if not first.all() else np.zeros((2, 0), np.int64)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(np.zeros(pairs.shape[1], np.int64)), pa.array(pairs[0]), pa.array(pairs[1])], ["gram", "size", "key", "other"])
+
+    return docs.select("text").mapInArrow(deal, "gram long, size long, key long, other long")
+
+
+def _met(percent: int):
+    """mapInArrow over rows (gram, size, key, other) sorted by gram and size: classes that may link.
+
+    Each class with the next smaller one whose n-gram is early enough, if the sizes allow a
+    link: between those two in size every other is linked to one of both in its turn.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            if len(cols[0]):
-                keep = int(np.argmax(cols[0] == cols[0][-1]))
-                rest = [c[keep:].copy() for c in cols]
-                yield chosen([c[:keep] for c in cols])
-        if rest is not None:
-            yield chosen(rest)
+            rows = [batch.column(i).to_numpy() for i in range(3)]
+            done = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            links = [np.stack([rows[2][done], batch.column(3).filter(pa.array(done)).to_numpy()])]
+            gram, size, key = (np.concatenate([h, r[~done]]) for h, r in zip(held, rows, strict=True))
+            if len(gram):
+                at = np.arange(len(gram))
+                early = np.maximum.accumulate(np.where(size & 1, -1, at))
+                before = np.concatenate([[-1], early[:-1]])
+                near = (before >= 0) & (gram[before] == gram) & (100 * (size[before] >> 1) >= percent * (size >> 1)) & (key[before] != key)
+                links.append(np.stack([key[near], key[before[near]]]))
+                last = early[-1]
+                held = [x[last : last + 1].copy() if last >= 0 else x[:0] for x in (gram, size, key)]
+            found = np.concatenate(links, axis=1)
+            found = np.unique(np.stack([found.max(axis=0), found.min(axis=0)]), axis=1) if found.size else found
+            yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     return run
 
@@ -179,9 +192,43 @@ class Lists:
         self.sizes = np.array([len(s) for s in sets], np.int64)
         grams = np.concatenate([*sets, np.zeros(0, np.uint64)])
         order = np.argsort(grams, kind="stable")
+        self.grams, number = np.unique(grams[order], return_inverse=True)
+        self.places = max(1, len(sets))
         self.posting = np.repeat(np.arange(len(sets)), self.sizes)[order]
-        self.grams, starts = np.unique(grams[order], return_index=True)
-        self.bounds = np.append(starts, len(grams))
+        self.coded = number * self.places + self.posting  # the posting's list and set in one sorted number
+
+    def _gathered(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = end - begin
+        return self.posting[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+
+    def merged(self, begin: np.ndarray, end: np.ndarray, need: int, low: int, high: int, stretch: int | None = None) -> np.ndarray:
+        """How many of the lists hold each of the sets ``low`` to ``high``; fewer than ``need`` may read as none.
+
+        Lists run from ``begin`` to ``end`` and hold these sets only. A heap of their heads gives
+        the sets in order; no set below the ``need``-th head is in so many lists, so all lists skip to that.
+        """
+        stretch = stretch or STRETCH
+        if (end - begin).sum() <= stretch:
+            return np.bincount(self._gathered(begin, end) - low, minlength=high - low)
+        counts = np.zeros(high - low, np.int64)
+        width = max(1, stretch // len(begin))
+        at, stop, base = begin.tolist(), end.tolist(), (self.coded[begin] - self.posting[begin]).tolist()
+        heap = [(int(self.posting[a]), i) for i, a in enumerate(at)]
+        heapq.heapify(heap)
+        while len(heap) >= need:
+            first = heapq.nsmallest(need, heap)[-1][0] if need > 1 else heap[0][0]
+            popped = []
+            while heap and heap[0][0] < first + width:
+                popped.append(heapq.heappop(heap)[1])
+            codes = np.array([base[i] for i in popped])
+            starts = np.maximum([at[i] for i in popped], np.searchsorted(self.coded, codes + first))
+            ends = np.minimum([stop[i] for i in popped], np.searchsorted(self.coded, codes + first + width))
+            np.add.at(counts, self._gathered(starts, np.maximum(starts, ends)) - low, 1)
+            for i, e in zip(popped, ends.tolist(), strict=True):
+                at[i] = e
+                if e < stop[i]:
+                    heapq.heappush(heap, (int(self.posting[e]), i))
+        return counts
 
     def search(self, query: np.ndarray, percent: int, low: int) -> tuple[np.ndarray, np.ndarray]:
         """(sets from ``low`` on that link with ``query``, their overlaps), by DivideSkip."""
@@ -194,25 +241,33 @@ class Lists:
             return none, none
         at = np.searchsorted(self.grams, query)
         at = at[(at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == query)]
+        begin, end = np.searchsorted(self.coded, at * self.places + low), np.searchsorted(self.coded, at * self.places + high)
+        some = end > begin
+        at, begin, end = at[some], begin[some], end[some]
         if len(at) < need:
             return none, none
-        begin, end = self.bounds[at], self.bounds[at + 1]
+        order = np.argsort(begin - end, kind="stable")
+        at, begin, end = at[order], begin[order], end[order]
         length = end - begin
-        order = np.argsort(-length, kind="stable")
-        aside = min(need - 1, int(need / (MU * math.log2(max(2, length[order[0]])) + 1)))
-        merged = np.concatenate([self.posting[begin[i] : end[i]] for i in order[aside:]])
-        counts = np.bincount(merged, minlength=high)[:high]
-        counts[:low] = 0
-        found = np.flatnonzero(counts >= max(1, need - aside))
+        aside = min(need - 1, int(need / (MU * math.log2(max(2, length[0])) + 1)))
+        counts = self.merged(begin[aside:], end[aside:], need - aside, low, high)
+        found = np.flatnonzero(counts >= need - aside)
         overlap = counts[found]
-        for left, i in enumerate(order[:aside]):
-            keep = overlap + (aside - left) >= need
+        left = aside
+        while left:
+            keep = overlap + left >= need
             found, overlap = found[keep], overlap[keep]
             if not len(found):
                 return none, none
-            part = self.posting[begin[i] : end[i]]
-            slot = np.minimum(np.searchsorted(part, found), len(part) - 1)
-            overlap = overlap + (part[slot] == found)
+            some = slice(max(0, left - max(8, (1 << 16) // len(found))), left)
+            if length[some].sum() <= PROBE * len(found) * (some.stop - some.start):
+                overlap = overlap + np.bincount(self._gathered(begin[some], end[some]) - low, minlength=high - low)[found]
+            else:
+                wanted = at[some, None] * self.places + (low + found)
+                slot = np.minimum(np.searchsorted(self.coded, wanted), len(self.coded) - 1)
+                overlap = overlap + (self.coded[slot] == wanted).sum(axis=0)
+            left = some.start
+        found = low + found
         keep = 100 * overlap >= percent * (n + self.sizes[found] - overlap)
         return found[keep], overlap[keep]
 
@@ -225,24 +280,26 @@ def _link_block(left: list[tuple], right: list[tuple] | None, percent: int) -> l
     left = sorted(left, key=lambda x: (len(x[2]), x[0]))
     right_rows = left if right is None else sorted(right, key=lambda x: (len(x[2]), x[0]))
     lists = Lists([x[2] for x in right_rows])
-    parent = {x[0]: x[0] for x in [*left, *right_rows]}
-    links = dict.fromkeys(parent, 0)
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for k, (me, copies, grams) in enumerate(left):
+    rows = left if right is None else left + right_rows
+    offset = len(rows) - len(right_rows)
+    keys, copies = (np.array([x[i] for x in rows], np.int64) for i in range(2))
+    parent, links = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    for k, (_, _, grams) in enumerate(left):
         found, _ = lists.search(grams, percent, k + 1 if right is None else 0)
-        for j in found.tolist():
-            other, times, _ = right_rows[j]
-            links[me] += times
-            links[other] += copies
-            x, y = top(me), top(other)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    return [(x, top(x), n) for x, n in links.items() if n]
+        if len(found):
+            found = found + offset
+            links[k] += copies[found].sum()
+            links[found] += copies[k]
+            tops = np.append(found, k)
+            while (parent[tops] != tops).any():
+                tops = parent[tops]
+            parent[tops] = tops.min()
+            parent[found] = parent[k] = tops.min()
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    least = np.full(len(rows), np.iinfo(np.int64).max)
+    np.minimum.at(least, parent, keys)
+    return [(int(keys[i]), int(least[parent[i]]), int(links[i])) for i in np.flatnonzero(links)]
 
 
 def _link_groups(percent: int):
@@ -280,28 +337,27 @@ def _link_groups(percent: int):
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``(id, n_shingles, component_id, n_links)``, a row for each row of ``docs`` with an id.
+    """``(id, n_shingles, component_id, n_links, digest)``, a row for each row of ``docs`` with an id.
 
     Two texts link when their sets of word ``n``-grams have Jaccard ``percent``/100 or more;
     ``component_id`` is the smallest id that links reach, itself included, and ``n_links``
-    the number of other rows that the text links with. A text with fewer than ``n`` words
-    has one gram, all of it; a null text or one without words has none and no links. Rows
-    with a null id are left out; rows that repeat an id count as one row each. Other
-    columns, whatever their names, aren't read. An empty table gives an empty result.
+    the number of other rows that the text links with; texts with equal sets have equal
+    ``digest``. A text with fewer than ``n`` words has one gram, all of it; a null text or
+    one without words has none and no links. Rows with a null id are left out; rows that
+    repeat an id count as one row each. Other columns, whatever their names, aren't read.
+    An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     read = source.where("id IS NOT NULL")
-    members = stored(_classes(read, n, percent), "jaccard-members")
-    classes = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("key").alias("key"))
-    dealt = _dealt(read, n)
-    shared = dealt.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
-    shared = stored(dealt.join(shared, "gram").select("gram", "key", "df").mapInArrow(_once, "gram long, key long, df long"), "jaccard-shared")
-    sized = shared.join(classes.select("key", "n", "m"), "key").select("key", "df", "gram", "n", "m")
-    rarest = cut(sized.repartition("key").sortWithinPartitions("key", "df", "gram").mapInArrow(_rarest(percent), "gram long, key long"))
-    leaders = rarest.groupBy("gram").agg(F.min("key").alias("leader"))
-    blocks = connected_components(rarest.join(leaders, "gram").where("key <> leader").select("key", "leader").distinct(), "key", "leader")
+    found = stored(_classes(read, n), "jaccard-members")
+    sketch = spark.sparkContext.broadcast(_summed(found))
+    members = found.where("slice IS NULL").select("id", "n", "digest", "key")
+    classes = stored(members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("key").alias("key")), "jaccard-classes")
+    met = _dealt(read, n, percent, sketch).repartition("gram").sortWithinPartitions("gram", "size").mapInArrow(_met(percent), "a long, b long")
+    blocks = connected_components(met.distinct(), "a", "b")
     survivors = stored(classes.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")), "key").select("id", "key", "copies", "n", "block"), "jaccard-blocks")
-    weights = survivors.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).where("rows > 1").select("block", F.ceil(F.col("grams") / F.lit(PIECE_GRAMS)).cast("int").alias("pieces"))
+    weights = stored(survivors.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).where("rows > 1").select("block", F.ceil(F.col("grams") / F.lit(PIECE_GRAMS)).cast("int").alias("pieces")), "jaccard-pieces")
     survivors = survivors.join(weights, "block").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,5 +375,6 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
     linked = linked.join(least, "component").select("digest", "component_id", "links")
     of_class = classes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return members.where("n > 0").join(of_class, "digest").select("id", F.col("n").alias("n_shingles"), "component_id", "n_links").union(empty)
+    of_class = stored(of_class, "jaccard-results")  # written, so that the join below is all of its stage and a hot digest can be split
+    empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "digest")
+    return members.where("n > 0").join(of_class.hint("merge"), "digest").select("id", F.col("n").alias("n_shingles"), "component_id", "n_links", "digest").union(empty)

@@ -63,7 +63,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).withColumnRenamed("id", "doc_id")
+    return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).withColumnRenamed("id", "doc_id").drop("digest")
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

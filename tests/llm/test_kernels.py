@@ -41,6 +41,34 @@ def test_divide_skip_against_plain_overlaps():
         assert dict(zip(found.tolist(), overlap.tolist(), strict=True)) == {j: o for j, o in plain.items() if 100 * o >= 80 * (len(query) + len(sets[j]) - o)}
 
 
+def test_heap_merge_counts_as_plain_counting():
+    rng = np.random.default_rng(8)
+    sets = sorted([np.unique(rng.integers(0, 90, rng.integers(20, 60)).astype(np.uint64)) for _ in range(200)], key=len)
+    lists = ngram_jaccard.Lists(sets)
+    for low, high, need in ((0, 200, 1), (30, 170, 5), (0, 200, 20), (150, 200, 40)):
+        at = np.arange(len(lists.grams))
+        begin, end = np.searchsorted(lists.coded, at * 200 + low), np.searchsorted(lists.coded, at * 200 + high)
+        some = end > begin
+        plain = lists.merged(begin[some], end[some], need, low, high)
+        heaped = lists.merged(begin[some], end[some], need, low, high, stretch=500)
+        assert plain.tolist() == [len(s) for s in sets[low:high]]
+        assert (heaped[plain >= need] == plain[plain >= need]).all() and (heaped <= plain).all()
+
+
+@pytest.mark.parametrize("size", [1, 5, 9, 40, 123, 300])
+def test_prefixes_of_linked_sets_meet(size):
+    rng = np.random.default_rng(size)
+    sketch = rng.integers(0, 3, ngram_jaccard.SKETCH).astype(np.uint32)
+    for _ in range(60):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, rng.integers(0, 1 + size // 9)).astype(np.uint64)]))
+        small, large = sorted((a, b), key=len)
+        common = len(np.intersect1d(a, b))
+        if common and 100 * common >= 80 * (len(a) + len(b) - common):
+            probed, indexed = ngram_jaccard.prefix_lengths(80, len(large))[0], ngram_jaccard.prefix_lengths(80, len(small))[1]
+            assert len(np.intersect1d(ngram_jaccard.ordered(small, sketch)[:indexed], ngram_jaccard.ordered(large, sketch)[:probed]))
+
+
 def test_blocks_and_grids_link_alike():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 40, 60).astype(np.uint64))

@@ -65,9 +65,40 @@ def test_jaccard(docs, none):
     assert None not in found and ngram_jaccard.jaccard_groups(none).count() == 0
 
 
-def test_jaccard_across_tiers(spark):
+def test_jaccard_of_hot_groups_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "PIECE_GRAMS", 2000)
+    rng, rows, shared = np.random.default_rng(21), [], sentence(60, 22)
+    base = sentence(50, 23).split()
+    for i in range(400):
+        kind = i % 8
+        if kind < 3:  # near copies of one text
+            text = " ".join(w if rng.random() > 0.01 else f"x{rng.integers(9)}" for w in base)
+        elif kind == 3:  # exact copies
+            text = sentence(40, 24)
+        elif kind < 6:  # a passage that many share
+            text = sentence(int(rng.integers(5, 60)), 2000 + i) + " " + shared
+        else:
+            text = " ".join(f"v{v}" for v in rng.integers(0, 3, rng.integers(1, 9)))
+        rows.append((i % 390, text))
+    found = ngram_jaccard.jaccard_groups(passage_table(spark, rows)).select("id", "n_shingles", "n_links", "component_id").collect()
+    sets = [{tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} or {tuple(words(t))} for _, t in rows]
+    links = [[j for j, b in enumerate(sets) if j != i and 100 * len(a & b) >= 80 * len(a | b)] for i, a in enumerate(sets)]
+    label = list(range(len(rows)))
+    for _ in rows:
+        new = [min([label[i], *[label[j] for j in links[i]]]) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[label[i]] = min(least.get(label[i], doc), doc)
+    assert sorted(map(tuple, found)) == sorted((doc, len(sets[i]), len(links[i]), least[label[i]]) for i, (doc, _) in enumerate(rows))
+    assert sum(map(len, links)) > 10000
+
+
+def test_jaccard_across_sizes(spark):
     rows = []
-    for case, size in enumerate([40, 50, 100, 125, 240, 300] * 4):
+    for case, size in enumerate([36, 40, 41, 50, 100, 125, 240, 300] * 4):
         text = sentence(size + 6, 1000 + case)
         rows += [(2 * case, " ".join(text.split()[: size + 4])), (2 * case + 1, text)]
     found = {r.id: r.n_links for r in ngram_jaccard.jaccard_groups(passage_table(spark, rows)).collect()}
