@@ -1,27 +1,29 @@
 """Fuzzy substring deduplication by collinear chaining of shared k-mer seeds.
 
-1. Seeds are minimizers: of each ``window`` neighbouring word ``k``-mers the one with
-   the smallest hash, so two equal runs of ``k + window - 1`` words share one.
-2. Each seed points to the smallest document that holds it. A document is compared
-   with the documents its seeds point to, never with all that hold them.
-3. Matches of a pair are chained: the best collinear chain under linear gap costs, by a
-   Fenwick tree of prefix maxima; then the best of what it leaves, and so on.
-4. Chains are aligned: exact runs are counted, the gaps between them aligned by edit
-   distance within a band. Ends are extended through changed words, from one seed too.
-   Long and similar ones are passages.
-5. Other documents may take the seeds of a passage from the one that has all of it. So
-   every run of words as long as a passage that step 4 left open meets the smallest
-   document with just that run: longer minimizers, of which such a run always has one,
-   tell where, and each run around them is dealt out by the hash of all its words.
+1. Seeds are minimizers: of each ``WINDOW`` neighbouring word ``K``-mers the one with the
+   smallest hash. Long ones, of half a passage, are dealt out beside them, so that every
+   run of ``MIN_WORDS`` words has one.
+2. Each seed points to an earlier holder: in a batch of texts to the smallest document
+   that has it, and from there to the smallest of all. So a seed that very many documents
+   share leaves a batch once, and no document meets all that share its seeds.
+3. The matches of a pair are chained: runs on one diagonal are put together, and the best
+   collinear chains of runs under linear gap costs found by a Fenwick tree of prefix maxima.
+4. Chains are aligned, a document's best first: exact runs are counted, the gaps between
+   them aligned by longest common subsequence, ends extended through changed words, from one
+   seed too. Long and similar ones are passages; what lies inside one isn't aligned again.
+5. Other documents may take the seeds of a passage from the one that has all of it. So the
+   runs of ``MIN_WORDS`` words around a long seed that step 4 left open are dealt out by
+   the hash of all their words: each meets an earlier document with just that run.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -36,117 +38,213 @@ MIN_IDENTITY = 0.8
 GAP_COST = 0.2
 #: Seeds further apart than this many words never join one chain.
 MAX_GAP = 64
+#: Seeds of one diagonal no further apart than this are one run: joining them always gains.
+RUN_STEP = 18
 #: Words beside a chain that are looked at for its ends.
 MARGIN = 64
 #: Words that have to agree for a changed one between an end and its extension: at first, then where too few of all agree.
 PRICES = (2, 4)
 #: Changed words that nothing has paid for at which an end is settled.
 DROP = 6
+#: Share of its length that a chain scores where it is all seeds of one text copied: they stand some ``WINDOW / 2`` words apart.
+DENSE = 0.6
+#: A short chain is aligned if a stretch of a passage's length has this share of words from the other text.
+ALIKE = 0.7
 
 
-def minimizers(codes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest of each ``window`` codes, the last of equals; all of fewer: one."""
-    if len(codes) <= window:
-        return np.array([len(codes) - 1 - int(np.argmin(codes[::-1]))]) if len(codes) else np.zeros(0, np.int64)
-    low = np.lib.stride_tricks.sliding_window_view(codes[::-1], window).argmin(axis=1)
-    return np.unique(len(codes) - 1 - (np.arange(len(low)) + low))
+def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (np.minimum or np.maximum) of each ``width`` neighbours."""
+    done, out = 1, values
+    while 2 * done <= width:
+        out = pick(out[:-done], out[done:])
+        done *= 2
+    return pick(out[: len(out) - (width - done)], out[width - done :])
 
 
-def _seeds(docs: DataFrame, k: int, window: int, turns: bool = True) -> DataFrame:
-    """(seed, id, at) for every minimizer.
+def minimizers(codes: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
+    """Positions of the smallest of each ``window`` codes of a text, all of equals; of a text with fewer codes, of all.
 
-    A code that a text repeats is dealt out a second time, told apart by how many came
-    before it: any copy meets the first one of another text, and repetitive texts match
-    in order too.
+    Text i has the codes from ``bounds[i]`` to ``bounds[i + 1]``. A code is chosen where the
+    largest of the minima of its windows is itself.
     """
+    n, counts = len(codes), np.diff(bounds)
+    chosen = np.zeros(n, bool)
+    if n >= window:
+        low = _sliding(codes, window, np.minimum)
+        low[np.arange(len(low)) + window > np.repeat(bounds[1:], counts)[: len(low)]] = 0
+        none = np.zeros(window - 1, np.uint64)
+        chosen = _sliding(np.concatenate([none, low, none]), window, np.maximum) == codes
+    short = (counts > 0) & (counts < window)
+    if short.any():
+        inside = np.repeat(short, counts)
+        first = np.cumsum(counts[short]) - counts[short]
+        chosen[inside] = codes[inside] == np.repeat(np.minimum.reduceat(codes[inside], first), counts[short])
+    return np.flatnonzero(chosen)
+
+
+#: Rows on their way to an earlier holder (no leader yet, dealt by the seed), or there (dealt by id; ``seed`` of long ones only).
+_ROUTED = "route long, id long, at int, seed long, leader long, leader_at int"
+_MATCHES = "id long, at int, seed long, leader long, leader_at int"
+
+
+def _batch(schema: str, *columns: np.ndarray, valid: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Columns of ``schema``, with nulls where ``valid`` has one and it doesn't hold."""
+    names, kinds = zip(*[x.split() for x in schema.split(", ")], strict=True)
+    out = [pa.array(c, {"long": pa.int64(), "int": pa.int32()}[kind], mask=None if name not in valid else ~valid[name]) for name, kind, c in zip(names, kinds, columns, strict=True)]
+    return pa.record_batch(out, list(names))
+
+
+def _first_holders(seed: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Routed rows of a batch: of each seed those of its smallest document go on, the others point there.
+
+    ``at`` of a long seed is -1 - its position.
+    """
+    by = np.lexsort((at, ids, seed))
+    seed, ids, at = seed[by], ids[by], at[by].astype(np.int32)
+    new = np.ones(len(seed), bool)
+    new[1:] = seed[1:] != seed[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(seed)), 0))
+    onward = ids == ids[first]
+    long = at < 0
+    route = np.where(onward, seed, wordhash.mix(ids.view(np.uint64))).view(np.int64)
+    return _batch(_ROUTED, route, ids, at, seed.view(np.int64), ids[first], at[first], valid={"seed": long & ~onward, "leader": ~onward, "leader_at": ~onward})
+
+
+def _found_holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over routed rows sorted by route, id, at: the matches of all."""
+    held = None
+    place = lambda at: np.where(at < 0, -1 - at, at)
+    for batch in batches:
+        done = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        if done.any():
+            there = batch.filter(pa.array(done))
+            ids, at, leader, leader_at = (there.column(i).to_numpy() for i in (1, 2, 4, 5))
+            seed = there.column(3)
+            yield pa.record_batch([pa.array(ids), pa.array(place(at)), seed, pa.array(leader), pa.array(place(leader_at))], ["id", "at", "seed", "leader", "leader_at"])
+        route, ids, at = (batch.column(i).to_numpy()[~done] for i in range(3))
+        if not len(route):
+            continue
+        if held is not None:
+            route, ids, at = (np.concatenate([[h], x]).astype(x.dtype) for h, x in zip(held, (route, ids, at), strict=True))
+        new = np.ones(len(route), bool)
+        new[1:] = route[1:] != route[:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(route)), 0))
+        held = route[first[-1]], ids[first[-1]], at[first[-1]]
+        hit = ids != ids[first]
+        long = at[hit] < 0
+        yield _batch(_MATCHES, ids[hit], place(at[hit]), route[hit], ids[first][hit], place(at[first][hit]), valid={"seed": long})
+
+
+def _matches(routed: DataFrame) -> DataFrame:
+    """``(id, at, seed, leader, leader_at)``: every place of a seed, but those of the smallest document, with an earlier holder."""
+    return routed.repartition("route").sortWithinPartitions("route", "id", "at").mapInArrow(_found_holders, _MATCHES)
+
+
+def _seeds(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
+    """Routed rows of the seeds of every text: short ones, and long ones of half a passage."""
+    long = (min_words + 1) // 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
+            seeds, owners, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for start, rows, data, offsets in wordhash.text_chunks(batch.column(1)):
                 hashes, _, _, first = wordhash.words(data, offsets)
-                codes, bounds = wordhash.grams(hashes, first, k)
-                seeds, owners, places = [], [], []
-                for i in range(rows):
-                    own = codes[bounds[i] : bounds[i + 1]]
-                    at = minimizers(own, window)
-                    order = np.argsort(own[at], kind="stable")
-                    found = own[at][order]
-                    turn = np.arange(len(found), dtype=np.uint64)
-                    new = np.ones(len(found), bool)
-                    new[1:] = found[1:] != found[:-1]
-                    turn -= np.maximum.accumulate(np.where(new, turn, np.uint64(0)))
-                    again = np.flatnonzero(turn) if turns else np.zeros(0, np.int64)
-                    seeds += [found, wordhash.mix(found[again] + turn[again])]
-                    places += [at[order], at[order][again]]
-                    owners.append(np.full(len(found) + len(again), ids[start + i], np.int64))
-                yield pa.record_batch([wordhash.signed(np.concatenate(seeds)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int32))], ["seed", "id", "at"])
-
-    return docs.mapInArrow(deal, "seed long, id long, at int")
-
-
-def chain(x: np.ndarray, y: np.ndarray, k: int = K, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[int]]:
-    """Collinear chains over matches (x, y), x not falling; indices, best first, disjoint.
+                for width, span in ((k, window), (long, min_words - long + 1)):
+                    codes, bounds = wordhash.grams(hashes, first, width)
+                    chosen = minimizers(codes, bounds, span)
+                    row = np.searchsorted(bounds, chosen, "right") - 1
+                    at = chosen - bounds[row]
+                    seeds.append(codes[chosen])
+                    owners.append(ids[start + row])
+                    places.append(at if width == k else -1 - at)
+            yield _first_holders(*(np.concatenate(x) for x in (seeds, owners, places)))
+
+    return docs.mapInArrow(deal, _ROUTED)
+
+
+def _runs(x: np.ndarray, y: np.ndarray, k: int, gap_cost: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(matches by diagonal, first of each run and the end, score of each run)."""
+    by = np.lexsort((x, y - x))
+    step = np.diff(x[by])
+    inside = (np.diff((y - x)[by]) == 0) & (step <= RUN_STEP)
+    edges = np.concatenate([[0], np.flatnonzero(~inside) + 1, [len(x)]])
+    gains = np.zeros(len(x))
+    gains[1:] = np.where(inside, np.minimum(k, step) - 2 * gap_cost * np.maximum(0, step - k), 0)
+    return by, edges, k + np.add.reduceat(gains, edges[:-1])
+
+
+def chain(x: np.ndarray, y: np.ndarray, k: int = K, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[tuple[float, list[int]]]:
+    """(score, indices) of collinear chains over matches (x, y): best first, disjoint.
 
     The score of a chain is the words its seeds cover less ``gap_cost`` for each word
-    between them on either side. With g = score + cost * (x + y), the best predecessor of
-    a match is a maximum of g over smaller y: a prefix maximum, kept in a Fenwick tree.
-    Where the maximum lies over ``max_gap`` away, or overlaps the match, the predecessors
-    within ``max_gap`` are looked through, so a far one never hides a near one.
+    between them on either side. Runs of one diagonal are joined first. With
+    g = score + cost * (x + y) at a run's end, the best predecessor of a run is a maximum of
+    g over smaller y: a prefix maximum, kept in a Fenwick tree. Where the maximum lies over
+    ``max_gap`` away, or overlaps the run, the predecessors within ``max_gap`` are looked
+    through, so a far one never hides a near one.
     """
-    n = len(x)
-    rank = np.unique(y, return_inverse=True)[1] + 1
-    size = int(rank.max(initial=0))
+    if not len(x):
+        return []
+    by, edges, gain = _runs(x, y, k, gap_cost)
+    n = len(gain)
+    if n == 1:
+        return [(float(gain[0]), by.tolist())]
+    first, last = by[edges[:-1]], by[edges[1:] - 1]
+    x0, y0, x1, y1 = x[first].tolist(), y[first].tolist(), x[last].tolist(), y[last].tolist()
+    order = sorted(range(n), key=lambda i: (x0[i], y0[i]))
+    levels = np.unique(y[last])
+    rank = (np.searchsorted(levels, y[last]) + 1).tolist()
+    below = np.searchsorted(levels, y[first]).tolist()
+    size = len(levels)
     tree: list[tuple[float, int]] = [(-1e300, -1)] * (size + 1)
-    score, back = [float(k)] * n, [-1] * n
-    xs, ys, ranks = x.tolist(), y.tolist(), rank.tolist()
+    own, back = gain.tolist(), [-1] * n
+    score = list(own)
+    waiting: list[tuple[int, int]] = []
+    ended: list[tuple[int, int]] = []
 
     def join(i: int, j: int) -> None:
-        dx, dy = xs[i] - xs[j], ys[i] - ys[j]
+        dx, dy = x0[i] - x1[j], y0[i] - y1[j]
         if 0 < dx <= max_gap and 0 < dy <= max_gap:
-            joined = score[j] + min(k, dx, dy) - gap_cost * (max(0, dx - k) + max(0, dy - k))
+            joined = own[i] - k + score[j] + min(k, dx, dy) - gap_cost * (max(0, dx - k) + max(0, dy - k))
             if joined > score[i]:
                 score[i], back[i] = joined, j
 
-    start = near = 0
-    while start < n:
-        stop = start
-        while stop < n and xs[stop] == xs[start]:
-            stop += 1
-        while xs[start] - xs[near] > max_gap:
-            near += 1
-        for i in range(start, stop):
-            best, r = (-1e300, -1), ranks[i] - 1
-            while r:
-                if tree[r] > best:
-                    best = tree[r]
-                r &= r - 1
-            j = best[1]
-            if j < 0:
-                continue
-            if k <= xs[i] - xs[j] <= max_gap and k <= ys[i] - ys[j] <= max_gap:
-                join(i, j)
-            else:
-                for j in range(near, start):
-                    join(i, j)
-        for i in range(start, stop):
-            g = (score[i] + gap_cost * (xs[i] + ys[i]), i)
-            r = ranks[i]
+    for i in order:
+        while waiting and waiting[0][0] < x0[i]:
+            end, j = heapq.heappop(waiting)
+            ended.append((end, j))
+            g, r = (score[j] + gap_cost * (x1[j] + y1[j]), j), rank[j]
             while r <= size:
                 if g > tree[r]:
                     tree[r] = g
                 r += r & -r
-        start = stop
+        best, r = (-1e300, -1), below[i]
+        while r:
+            if tree[r] > best:
+                best = tree[r]
+            r &= r - 1
+        j = best[1]
+        if j >= 0:
+            if k <= x0[i] - x1[j] <= max_gap and k <= y0[i] - y1[j] <= max_gap:
+                join(i, j)
+            else:
+                for end, j in reversed(ended):
+                    if x0[i] - end > max_gap:
+                        break
+                    join(i, j)
+        heapq.heappush(waiting, (x1[i], i))
     used, chains = [False] * n, []
     for i in sorted(range(n), key=lambda i: (-score[i], i)):
-        path = []
+        path, top = [], score[i]
         while i >= 0 and not used[i]:
             used[i] = True
             path.append(i)
             i = back[i]
         if path:
-            chains.append(path[::-1])
-    return chains
+            rest = score[i] if i >= 0 else 0.0
+            chains.append((top - rest, [m for run in reversed(path) for m in by[edges[run] : edges[run + 1]].tolist()]))
+    return sorted(chains, key=lambda c: -c[0])
 
 
 def equal_in_gap(a: np.ndarray, b: np.ndarray) -> int:
@@ -226,43 +324,72 @@ def passage(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], k: int
     return start_a, end_a, start_b, end_b, same
 
 
-def _pair_runs(max_gap: int, k: int):
-    """mapInArrow over rows (id, leader, at, leader_at) sorted by id, leader, at: chained pairs."""
+_CHAINS = "id long, leader long, score double, low int, high int, leader_low int, leader_high int, x array<int>, y array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        names = ["id", "leader", "low", "high", "leader_low", "leader_high", "x", "y"]
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32())]
 
-        def chained(cols: list[np.ndarray]) -> pa.RecordBatch:
-            out = []
-            if len(cols[0]):
-                edges = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-                for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cols[0])], strict=True):
-                    x, y = cols[2][a:b], cols[3][a:b]
-                    for path in chain(x, y, k, GAP_COST, max_gap):
-                        px, py = x[path], y[path]
-                        out.append((int(cols[0][a]), int(cols[1][a]), int(px[0]), int(px[-1]), int(py[0]), int(py[-1]), px.tolist(), py.tolist()))
-            return pa.record_batch([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names)
+def _chained(k: int, min_words: int):
+    """mapInArrow over matches sorted by id, leader, at, leader_at: the chains of each document.
+
+    A chain inside a long one that is nearly all seeds is left out: those words are found with it.
+    """
 
+    def of_document(cols: list[np.ndarray], out: list[tuple]) -> None:
+        edges = np.flatnonzero(np.diff(cols[1])) + 1
+        chains = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(cols[0])], strict=True):
+            x, y = cols[2][a:b], cols[3][a:b]
+            chains += [(score, int(cols[1][a]), x[path], y[path]) for score, path in chain(x, y, k)]
+        covered: list[tuple[int, int]] = []
+        for score, leader, x, y in sorted(chains, key=lambda c: (-c[0], c[1])):
+            low, high = int(x[0]), int(x[-1])
+            if any(s <= low and high + k <= e for s, e in covered):
+                continue
+            if high + k - low >= min_words and score >= DENSE * (high + k - low):
+                covered.append((low, high + k))
+            out.append((int(cols[0][0]), leader, score, low, high, int(y[0]), int(y[-1]), x, y))
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int32()] * 4, pa.list_(pa.int32()), pa.list_(pa.int32())]
+        names = [x.split()[0] for x in _CHAINS.split(", ")]
+        return pa.record_batch([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if not len(cols[0]):
                 continue
-            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-            keep = int(np.argmax(last))
-            rest = [c[keep:].copy() for c in cols]
-            yield chained([c[:keep] for c in cols])
-        if rest is not None:
-            yield chained(rest)
+            if parts and cols[0][-1] == parts[-1][0][-1]:  # one document goes on
+                parts.append([c.copy() for c in cols])
+                continue
+            cols = [np.concatenate(x) for x in zip(*parts, cols, strict=True)]
+            edges = [0, *(np.flatnonzero(np.diff(cols[0])) + 1).tolist()]
+            parts = [[c[edges[-1] :].copy() for c in cols]]
+            out: list[tuple] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                of_document([c[a:b] for c in cols], out)
+                if len(out) >= 2000:
+                    yield batch_of(out)
+                    out = []
+            yield batch_of(out)
+        if parts:
+            out = []
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            edges = [0, *(np.flatnonzero(np.diff(cols[0])) + 1).tolist(), len(cols[0])]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                of_document([c[a:b] for c in cols], out)
+            yield batch_of(out)
 
     return run
 
 
-def _aligned(read: DataFrame, chains: DataFrame, k: int, min_words: int, min_identity: float) -> DataFrame:
-    """The passages among stored ``chains``, without repeats."""
+def _chains(matches: DataFrame, k: int, min_words: int, label: str) -> DataFrame:
+    rows = matches.select("id", "leader", "at", "leader_at").repartition("id").sortWithinPartitions("id", "leader", "at", "leader_at")
+    return stored(rows.mapInArrow(_chained(k, min_words), _CHAINS), label)
+
+
+def _coded(read: DataFrame, chains: DataFrame) -> DataFrame:
+    """``(id, words)`` of the documents of ``chains``: 32 bits of the hash of each word, four bytes a word."""
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,101 +401,114 @@ def _aligned(read: DataFrame, chains: DataFrame, k: int, min_words: int, min_ide
             yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["id", "words"])
 
     ids = chains.select(F.explode(F.array("id", "leader")).alias("id")).distinct()
-    coded = stored(read.join(ids.hint("merge"), "id").mapInArrow(codes, "id long, words binary"), "passage-words")
+    return stored(read.join(ids.hint("merge"), "id").mapInArrow(codes, "id long, words binary"), "passage-words")
+
+
+_PASSAGES = "doc_id long, start_word long, end_word long, source_id long, source_start long, source_end long, n_same long, n_words long"
+
+
+def may_be_passage(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, alike: float = ALIKE) -> bool:
+    """Whether a stretch of ``min_words`` words of a has enough words that stand in b, in whatever order."""
+    if min(len(a), len(b)) < MIN_IDENTITY * min_words or len(a) < min_words:
+        return False
+    count = np.concatenate([[0], np.cumsum(np.isin(a, b))])
+    return bool((count[min_words:] - count[:-min_words]).max() >= alike * min_words)
+
+
+def _aligned(coded: DataFrame, chains: DataFrame, k: int, min_words: int, min_identity: float) -> DataFrame:
+    """The passages among stored ``chains``: of each document in order of the chains' scores."""
 
     def part(words: str, low: str, high: str):
         first = F.greatest(F.lit(0), F.col(low) - MARGIN)
         return first, F.substring(F.col(words), first * 4 + 1, (F.col(high) + k + MARGIN - first) * 4)
 
     first, cut_words = part("words", "leader_low", "leader_high")
-    with_source = chains.join(coded.withColumnRenamed("id", "leader"), "leader").select("id", "leader", "low", "high", "x", "y", first.alias("leader_first"), cut_words.alias("leader_words"))
+    with_source = chains.join(coded.withColumnRenamed("id", "leader"), "leader").select("id", "leader", "score", "low", "high", "x", "y", first.alias("leader_first"), cut_words.alias("leader_words"))
     first, cut_words = part("words", "low", "high")
-    both = with_source.join(coded, "id").select("id", "leader", first.alias("first"), "leader_first", "x", "y", cut_words.alias("own"), "leader_words")
+    both = with_source.join(coded, "id").select("id", "leader", "score", first.alias("first"), "leader_first", (F.octet_length("words") / 4).cast("long").alias("n_words"), "x", "y", cut_words.alias("own"), "leader_words")
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, seen = None, []
+        document, covered = None, []
         for batch in batches:
             out = []
-            for me, leader, first, leader_first, x, y, own, other in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                a, b = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
-                anchors = [(i - first, j - leader_first) for i, j in zip(x, y, strict=True) if i - first + k <= len(a) and j - leader_first + k <= len(b)]
-                if not anchors:
+            ids, leaders, _, firsts, leader_firsts, sizes = (batch.column(i).to_pylist() for i in range(6))
+            for i, (me, leader, first, leader_first, n_words) in enumerate(zip(ids, leaders, firsts, leader_firsts, sizes, strict=True)):
+                if (me, n_words) != document:
+                    document, covered = (me, n_words), []
+                x, y = (batch.column(j)[i].values.to_numpy().astype(np.int64) for j in (6, 7))
+                if any(s <= x[0] and x[-1] + k <= e for s, e in covered):
+                    continue
+                a, b = (np.frombuffer(batch.column(j)[i].as_buffer(), "<u4") for j in (8, 9))
+                x, y = x - first, y - leader_first
+                fits = (x + k <= len(a)) & (y + k <= len(b))
+                if not fits.any() or x[-1] + k - x[0] < min_words and not may_be_passage(a, b, min_words):
                     continue
-                if (me, leader) != pair:
-                    pair, seen = (me, leader), []
-                ends = [(i + first, j + leader_first) for i, j in (anchors[0], anchors[-1])]
-                if any(all(s <= i and i + k <= e and t <= j and j + k <= u and min(t - s, u - e) <= j - i <= max(t - s, u - e) for i, j in ends) for s, e, t, u in seen):
-                    continue  # a chain inside a passage, on its path: extended, it gives that passage again
-                s, e, t, u, same = passage(a, b, anchors, k, min_words, min_identity)
+                s, e, t, u, same = passage(a, b, list(zip(x[fits].tolist(), y[fits].tolist(), strict=True)), k, min_words, min_identity)
                 if e - s >= min_words and same >= min_identity * max(e - s, u - t):
-                    out.append((me, s + first, e + first, leader, t + leader_first, u + leader_first, same))
-                    seen.append((s + first, e + first, t + leader_first, u + leader_first))
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "start_word", "end_word", "source_id", "source_start", "source_end", "n_same"])
+                    out.append((me, s + first, e + first, leader, t + leader_first, u + leader_first, same, n_words))
+                    covered.append((s + first, e + first))
+            columns = zip(*out, strict=True) if out else [[]] * 8
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], [x.split()[0] for x in _PASSAGES.split(", ")])
 
-    return both.sortWithinPartitions("id", "leader", F.desc(F.size("x"))).mapInArrow(aligned, "doc_id long, start_word long, end_word long, source_id long, source_start long, source_end long, n_same long").dropDuplicates()
+    return both.sortWithinPartitions("id", "n_words", F.desc("score"), "leader").mapInArrow(aligned, _PASSAGES).dropDuplicates()
 
 
-def _whole_runs(read: DataFrame, found: DataFrame, min_words: int, k: int) -> DataFrame:
-    """Chains, of one anchor each, of the runs of ``min_words`` words that ``found`` leaves open.
+def _open_runs(matches: DataFrame, coded: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
+    """Matches of the runs of ``min_words`` words that ``found`` leaves open, at their first and last seed.
 
-    Every such run that stands word for word in a smaller document is in one of them, with
-    the smallest document that has this run.
+    Every such run that stands word for word in a smaller document has a long seed; around
+    those that no passage covers, all runs of all holders are dealt out by all their words.
     """
     long = (min_words + 1) // 2
     span = min_words - long + 1
-    seeds = _seeds(read, long, span, turns=False)
-    shared = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("high")).where("least < high").select("seed", "least")
-    held = stored(seeds.join(shared, "seed"), "passage-holders")
-    covered = found.select(F.col("doc_id").alias("id"), "start_word", "end_word").distinct()
-    inside = (F.col("start_word") <= F.greatest(F.lit(0), F.col("at") - span + 1)) & (F.col("end_word") >= F.col("at") + min_words)
-    open_seeds = held.where("id > least").join(covered.hint("merge"), (held["id"] == covered["id"]) & inside, "left_anti").select("seed").distinct()
-    places = held.join(open_seeds.hint("merge"), "seed", "left_semi").groupBy("id").agg(F.collect_set("at").alias("places"))
+    held = matches.where("seed IS NOT NULL")
+    covered = found.select(F.col("doc_id").alias("_id"), "start_word", "end_word", "n_words").distinct()
+    inside = (F.col("start_word") <= F.greatest(F.lit(0), F.col("at") - span + 1)) & (F.col("end_word") >= F.least(F.col("n_words"), F.col("at") + min_words))
+    open_seeds = held.join(covered.hint("merge"), (held["id"] == covered["_id"]) & inside, "left_anti").select("seed").distinct()
+    holders = held.select("seed", "id", "at").union(held.select("seed", "leader", "leader_at"))
+    places = holders.join(open_seeds.hint("merge"), "seed", "left_semi").groupBy("id").agg(F.collect_set("at").alias("places"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for start, rows, data, offsets in wordhash.text_chunks(batch.column(1)):
-                hashes, _, _, first = wordhash.words(data, offsets)
-                codes, bounds = wordhash.grams(hashes, first, min_words)
-                runs, owners, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i in range(rows):
-                    at = np.array(batch.column(2)[start + i].as_py())
-                    at = np.unique(at[:, None] - np.arange(span))
-                    at = at[(at >= 0) & (at < bounds[i + 1] - bounds[i])]
-                    runs.append(codes[bounds[i] + at])
-                    starts.append(at)
-                    owners.append(np.full(len(at), ids[start + i], np.int64))
-                yield pa.record_batch([wordhash.signed(np.concatenate(runs)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(starts).astype(np.int32))], ["run", "id", "at"])
-
-    runs = stored(read.join(places.hint("merge"), "id").select("id", "text", "places").mapInArrow(deal, "run long, id long, at int"), "passage-runs")
-    leaders = runs.groupBy("run").agg(F.min(F.struct("id", "at")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("run", F.col("m.id").alias("leader"), F.col("m.at").alias("leader_at"))
-    hits = runs.join(leaders, "run").where("id <> leader").select("id", "leader", "at", (F.col("at") - F.col("leader_at")).alias("shift"))
-    islands = hits.withColumn("island", F.col("at") - F.dense_rank().over(Window.partitionBy("id", "leader", "shift").orderBy("at")))
-    one = islands.groupBy("id", "leader", "shift", "island").agg(F.min("at").alias("low"), F.max("at").alias("last"))
-    own = one.select("id", "leader", "low", (F.col("last") + min_words - k).alias("high"), "shift").withColumns({"leader_low": F.col("low") - F.col("shift"), "leader_high": F.col("high") - F.col("shift")})
-    return own.select("id", "leader", "low", "high", "leader_low", "leader_high", F.array("low").alias("x"), F.array("leader_low").alias("y"))
+            runs, owners, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                words = wordhash.mix(np.frombuffer(batch.column(1)[i].as_buffer(), "<u4").astype(np.uint64))
+                codes, _ = wordhash.grams(words, np.array([0, len(words)]), min_words)
+                at = batch.column(2)[i].values.to_numpy().astype(np.int64)
+                at = np.unique(at[:, None] - np.arange(span))
+                at = at[(at >= 0) & (at < len(codes))]
+                runs.append(codes[at])
+                starts.append(at)
+                owners.append(np.full(len(at), ids[i], np.int64))
+            yield _first_holders(*(np.concatenate(x) for x in (runs, owners, starts)))
+
+    runs = _matches(coded.join(places.hint("merge"), "id").select("id", "words", "places").mapInArrow(deal, _ROUTED))
+    ends = F.explode(F.array(F.lit(0), F.lit(min_words - k))).alias("_end")
+    return runs.select("id", "leader", "at", "leader_at", ends).select("id", "leader", (F.col("at") + F.col("_end")).alias("at"), (F.col("leader_at") + F.col("_end")).alias("leader_at"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
-    """``(doc_id, start_word, end_word, source_id, source_start, source_end, n_same)``.
-
-    A row for every passage of at least ``min_words`` words of a document that also
-    stands, word for word or nearly, in the document ``source_id`` with a smaller id.
-    Word positions count from 0, ends are exclusive; ``n_same`` words agree. The source
-    never lists that seed itself, so one copy of every passage has no row. Words are
-    compared in lower case (A-Z). Null and empty texts have no passage, nor have texts
-    with a null id; rows that repeat an id are read as that id's versions, and a passage is
-    not reported against its own id. Rows of a document may overlap. Other columns aren't read. An empty table gives none.
+    """``(doc_id, start_word, end_word, source_id, source_start, source_end, n_same, n_words)``.
+
+    Passages of at least ``min_words`` words of a document that also stand, word for word
+    or nearly, in the document ``source_id`` with a smaller id. Every run of ``min_words``
+    words that stands word for word in a smaller document lies in the passages of a row, or
+    of rows that overlap. Word positions count from 0, ends are exclusive; ``n_same`` words
+    agree; ``n_words`` is the document's length. A source never lists that seed itself, so one copy
+    of every passage has no row. Of several sources one is named; which one may depend on
+    how rows come in batches. Words are compared in lower case (A-Z) and by 32 bits of their
+    hash. Null and empty texts have no passage, nor have texts with a null id; rows that
+    repeat an id are read as that id's versions, and a passage is not reported against its
+    own id. Rows of a document may overlap. Other columns aren't read. An empty table gives none.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    seeds = _seeds(read, k, window)
-    shared = seeds.groupBy("seed").agg(F.min(F.struct("id", "at")).alias("m"), F.max("id").alias("high")).where("m.id < high").select("seed", F.col("m.id").alias("leader"), F.col("m.at").alias("leader_at"))
-    matches = seeds.join(shared, "seed").where("id <> leader").select("id", "leader", "at", "leader_at")
-    found = matches.repartition("id", "leader").sortWithinPartitions("id", "leader", "at", "leader_at").mapInArrow(_pair_runs(MAX_GAP, k), "id long, leader long, low int, high int, leader_low int, leader_high int, x array<int>, y array<int>")
-    chains = stored(found, "passage-chains")
-    found = stored(_aligned(read, chains, k, min_words, min_identity), "passages")
-    rest = _aligned(read, stored(_whole_runs(read, found, min_words, k), "passage-runs-left"), k, min_words, min_identity)
+    matches = stored(_matches(_seeds(read, k, window, min_words)), "passage-matches")
+    chains = _chains(matches, k, min_words, "passage-chains")
+    coded = _coded(read, chains)
+    found = stored(_aligned(coded, chains, k, min_words, min_identity), "passages")
+    left = _chains(_open_runs(matches, coded, found, k, min_words), k, min_words, "passage-runs-left")
+    rest = _aligned(coded, left, k, min_words, min_identity)
     known = found.select(F.col("doc_id").alias("known"), F.col("start_word").alias("known_start"), F.col("end_word").alias("known_end")).distinct()
     rest = rest.join(known.hint("merge"), (F.col("doc_id") == F.col("known")) & (F.col("known_start") <= F.col("start_word")) & (F.col("known_end") >= F.col("end_word")), "left_anti")
     return found.union(rest)
@@ -378,9 +518,10 @@ def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
     """``docs`` without the words of ``passages``; all columns kept, a text left bare is dropped.
 
     The text between two kept words stays as it is; a removed passage leaves a line feed.
-    Rows without a passage, null ids and null texts among them, are passed on untouched.
+    Rows without a passage, null ids and null texts among them, are passed on untouched, and
+    of rows that repeat an id those whose number of words isn't that of the passage's text.
     """
-    spans = passages.groupBy(F.col("doc_id").alias("_passage_id")).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("_spans"))
+    spans = passages.groupBy(F.col("doc_id").alias("_passage_id")).agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word", "n_words"))).alias("_spans"))
 
     @F.pandas_udf("string")
     def without(texts, spans):
@@ -395,7 +536,7 @@ def drop_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id",
             kept, at = [], 0
             for span in spans_of:
                 low, high = int(span["start_word"]), int(span["end_word"])
-                if high > at:
+                if high > at and span["n_words"] == len(starts):
                     if low > at:
                         kept.append(raw[(starts[at] if at else 0) : ends[low - 1]])
                     at = high

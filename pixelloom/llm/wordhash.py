@@ -84,19 +84,26 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def _rolled(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Sum over i of hashes[at + i] * step ** (k - 1 - i), by halves."""
+    if k == 1:
+        return hashes
+    half = k // 2
+    part = _rolled(hashes, half)
+    out = part[:-half] * np.uint64(pow(int(_STEP), half, 1 << 64)) + part[half:] if len(part) > half else part[:0]
+    return out[:-1] * _STEP + hashes[2 * half :] if k % 2 and len(out) else out
+
+
 def grams(hashes: np.ndarray, first: np.ndarray, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the ``k`` words from each position, first gram of each text and the end).
 
     ``short``: a text of 1 to k-1 words has one gram, its whole sequence.
     """
-    n, counts = len(hashes), np.diff(first)
+    counts = np.diff(first)
     each = np.maximum(counts - k + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(each)])
     at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], each)
-    rolled = np.full(max(n - k + 1, 0), k, np.uint64)
-    for i in range(k):
-        rolled = rolled * _STEP + hashes[i : len(rolled) + i]
-    out = mix(rolled[at]) if len(at) else np.zeros(0, np.uint64)
+    out = mix(_rolled(hashes, k)[at] + np.uint64(k * pow(int(_STEP), k, 1 << 64) % (1 << 64))) if len(at) else np.zeros(0, np.uint64)
     if short and len(rows := np.flatnonzero((counts > 0) & (counts < k))):
         extra = np.array([np.uint64(counts[r]) for r in rows], np.uint64)
         for i in range(k - 1):

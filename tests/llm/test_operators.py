@@ -128,7 +128,41 @@ def test_smaller_documents_hide_no_source(spark):
     rows = [(3, sentence(40, 32) + " " + one + " " + sentence(40, 33)), (7, two + " " + sentence(60, 34))]
     rows += [(i, sentence(50, i) + " " + one + " " + two + " " + sentence(50, i + 1)) for i in (100, 200)]
     found = substring_dedup.repeated_passages(passage_table(spark, rows))
-    assert [tuple(r) for r in found.collect()] == [(200, 50, 110, 100, 50, 110, 60)]
+    assert [tuple(r)[:7] for r in found.collect()] == [(200, 50, 110, 100, 50, 110, 60)]
+
+
+def test_passages_against_brute_force(spark):
+    rng, rows = np.random.default_rng(31), []
+    hidden = sentence(200, 32).split()
+    for i in range(17):  # short quotes that overlap take every seed of a passage
+        rows.append((i, sentence(30, 100 + i) + " " + " ".join(hidden[10 * i : 10 * i + 35]) + " " + sentence(30, 200 + i)))
+    rows += [(i, sentence(40, i) + " " + " ".join(hidden) + " " + sentence(40, i + 1)) for i in (500, 600)]
+    line, hot = sentence(9, 33), sentence(70, 34)
+    for i in range(20, 60):  # lines and passages that many share, repeats within a text
+        parts = [sentence(int(rng.integers(20, 90)), 1000 + i)] + [[line] * int(rng.integers(1, 9)), [hot], [hot, sentence(5, i), hot], [" ".join(hot.split()[: int(rng.integers(45, 56))])]][i % 4]
+        rows.append((i, "\n".join(parts[j] for j in rng.permutation(len(parts)))))
+    fuzzy = {}
+    for i in range(60, 140, 2):  # passages with a tenth of the words changed
+        passage = sentence(80, 3000 + i).split()
+        changed = [w if rng.random() > 0.1 else f"x{rng.integers(99)}" for w in passage]
+        rows += [(i, sentence(30, 4000 + i) + " " + " ".join(passage)), (i + 1, " ".join(changed) + " " + sentence(30, 5000 + i))]
+        fuzzy[i + 1] = i
+    found = substring_dedup.repeated_passages(passage_table(spark, rows)).collect()
+    texts = {i: lowered(t) for i, t in rows}
+    spans, first = {}, {}
+    for r in found:
+        a, b = texts[r.doc_id][r.start_word : r.end_word], texts[r.source_id][r.source_start : r.source_end]
+        assert r.source_id < r.doc_id and len(a) >= 50 and r.n_same >= 0.8 * max(len(a), len(b)) and r.n_words == len(texts[r.doc_id])
+        assert substring_dedup.equal_in_gap(np.array(a), np.array(b)) >= r.n_same
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    for i in sorted(texts):
+        for at in range(len(texts[i]) - 49):
+            run = tuple(texts[i][at : at + 50])
+            if first.setdefault(run, i) < i:
+                assert all(any(s <= w < e for s, e in spans[i]) for w in range(at, at + 50)), (i, at)
+    assert (600, 500) in {(r.doc_id, r.source_id) for r in found if r.end_word - r.start_word >= 200}
+    assert np.mean([(i, j) in {(r.doc_id, r.source_id) for r in found} for i, j in fuzzy.items()]) >= 0.9
+    assert not any(i < 17 for i in spans)
 
 
 def test_both_copies_of_a_passage_go(spark):
