@@ -186,8 +186,21 @@ def test_chat_escapes():
             assert control not in chat_tree.escape(text)
 
 
-def test_rules_are_weighed():
-    clean, symbols = (1, 0, 1, 1, 0, 0), (1, -1, 1, 1, 0, 0)
-    prior, accuracies = quality_rules.fit_rules([(clean, 900), (symbols, 70), ((1, 0, -1, 1, -1, 0), 60)])
-    assert quality_rules.posterior(clean, prior, accuracies) > 0.5 > quality_rules.posterior(symbols, prior, accuracies)
-    assert quality_rules.fit_rules([])[0] == 0.7
+def test_em_recovers_planted_rates_and_overrules():
+    rng = np.random.default_rng(13)
+    rates = [((0.02, 0.1, 0.88), (0.9, 0.05, 0.05)), ((0.05, 0.3, 0.65), (0.6, 0.3, 0.1)), ((0.3, 0.2, 0.5), (0.5, 0.3, 0.2))]
+    defect = rng.random(60000) < 0.15
+    votes = np.stack([np.where(defect, rng.choice([-1, 0, 1], 60000, p=b), rng.choice([-1, 0, 1], 60000, p=a)) for a, b in rates], axis=1)
+    kinds, counts = np.unique(votes, axis=0, return_counts=True)
+    share, found = quality_rules.fit_kind([(tuple(v), n) for v, n in zip(kinds.tolist(), counts.tolist(), strict=True)])
+    assert abs(share - 0.15) < 0.02 and np.abs(np.array(found) - np.array(rates)).max() < 0.05
+    assert quality_rules.defect_posterior((1, 1, -1), share, found) < 0.05  # a rule with bad reasons, overruled
+    assert quality_rules.defect_posterior((-1, 0, -1), share, found) > 0.5
+
+
+def test_any_kind_of_defect_counts():
+    clean, menu, loud = (1,) * 9, (-1, -1, -1, *(1,) * 6), (*(1,) * 6, -1, -1, -1)
+    alone = (1, 1, -1, *(1,) * 6)
+    fitted = quality_rules.fit_rules([(clean, 900), (menu, 70), (loud, 40), (alone, 30)])
+    assert [quality_rules.quality_of(v, fitted) > 0.5 for v in (clean, menu, loud, alone)] == [True, False, False, True]
+    assert quality_rules.quality_of(clean, quality_rules.fit_rules([])) > 0.5

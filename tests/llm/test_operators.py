@@ -182,6 +182,24 @@ def test_bpe(docs, none):
     assert byte_bpe.bpe_digests(none, rank_path, pattern).count() == 0
 
 
+def plain_votes(text):
+    """The rules' votes, without Spark."""
+    text = text or ""
+    w = words(text)
+    n, chars = len(w), sum(map(len, w))
+    windows = Counter(tuple(w[i : i + 5]) for i in range(n - 4))
+    repeats = len({j for i in range(n - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+    lines = [x for x in text.split("\n") if words(x)]
+    symbols, marked, signs = len(re.findall(r"[#*$%&|<>]", text)), sum(bool(re.search(r"[#*$%&|<>]", x)) for x in w), len(re.findall(r"[!-@\[-`{-~]", text))
+    loud, capitals, marks, dup = sum(x.endswith("!!") for x in w), len(re.findall("[A-Z]", text)), text.count("!"), len(lines) - len(set(lines))
+    vote = lambda bad, good: -1 if bad else 1 if good else 0
+    return (
+        vote(100 * symbols > 6 * chars, 100 * symbols <= chars), vote(10 * marked > n, 50 * marked <= n), vote(100 * signs > 9 * chars, 100 * signs <= 6 * chars),
+        vote(100 * repeats > 20 * n, 100 * repeats <= 5 * n), vote(2 * dup > len(lines), 10 * dup <= len(lines)), vote(n >= 50 and 10 * len(set(w)) < 4 * n, n < 50 or 2 * len(set(w)) >= n),
+        vote(2 * loud > n, 20 * loud <= n), vote(100 * capitals > 40 * chars, 100 * capitals <= 15 * chars), vote(100 * marks > 5 * chars, 100 * marks <= chars),
+    )
+
+
 def test_quality(docs, none):
     for r in quality_rules.quality_verdicts(docs).collect():
         text = next(t or "" for i, t, *_ in ROWS if i == r.doc_id)
@@ -191,6 +209,11 @@ def test_quality(docs, none):
         lines = [x for x in text.split("\n") if words(x)]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r.base_failed and r.kept)
+    fitted, verdicts = quality_rules.fit_rules(sorted(Counter(plain_votes(t) for _, t, *_ in ROWS).items())), quality_rules.quality_verdicts(docs)
+    for r in verdicts.collect():
+        text = next(t or "" for i, t, *_ in ROWS if i == r.doc_id)
+        quality = quality_rules.quality_of(plain_votes(text), fitted)
+        assert math.isclose(r.quality, quality, abs_tol=1e-9) and r.kept == (not r.base_failed and quality >= 0.5)
     kept = quality_rules.keep_quality(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 8, 9, 12}
     assert quality_rules.quality_report(none).count() == 0 and quality_rules.keep_quality(none).count() == 0
