@@ -328,35 +328,48 @@ def test_languages(spark, docs, none):
     assert {r.lang_pred for r in language_id.held_out_languages(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_language_model(docs, none):
-    found = {r.doc_id: r for r in kneser_ney.held_out_scores(docs).collect()}
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, none, order):
+    held_ids = [i for i, *_ in ROWS if i is not None and zlib.crc32(str(i).encode()) % 7 == 2]
+    train = docs.where(~F.coalesce(F.col("doc_id").isin(held_ids), F.lit(False)))
+    model = kneser_ney.train(train, order=order, shard_bytes=100)
+    assert model[1] > 40
+    found = {r.doc_id: r for r in kneser_ney.score(docs, model, open_files=3).collect()}
     tokens = {i: [*lowered(t), "</>"] for i, t, *_ in ROWS}
-    held = [i for i in tokens if i is not None and zlib.crc32(str(i).encode()) % 7 == 2]
-    train = [i for i in tokens if i not in held]
-    count = Counter(w for i in train for w in tokens[i])
-    pairs = Counter(p for i in train for p in zip(["<>", *tokens[i]], tokens[i], strict=False))
-    context, before, kinds = Counter(), Counter(), {}
-    for (u, w), n in pairs.items():
-        context[u] += n
-        before[w] += 1
-        kinds.setdefault(u, Counter())[min(n, 3)] += 1
-    d, e = [0, *kneser_ney.discounts(Counter(pairs.values()))], [0, *kneser_ney.discounts(Counter(before.values()))]
-    mass = sum(e[min(n, 3)] for n in before.values()) / len(pairs)
-
-    def p(u, w):
-        lower = max(before[w] - e[min(before[w], 3)], 0) / len(pairs) + mass / (len(count) + 1)
-        if not context[u]:
+    kept = [i for i in tokens if i not in held_ids]
+    count = Counter(w for i in kept for w in tokens[i])
+    padded = lambda t: ["<>"] * (order - 1) + t
+    levels = {order: Counter(tuple(padded(tokens[i])[k : k + order]) for i in kept for k in range(len(tokens[i])))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    d = {n: [0, *kneser_ney.discounts(Counter(c.values()))] for n, c in levels.items()}
+    total, kinds = Counter(), {}
+    for c in levels.values():
+        for g, n in c.items():
+            total[g[:-1]] += n
+            kinds.setdefault(g[:-1], Counter())[min(n, 3)] += 1
+
+    def p(g):
+        if not g:
+            return 1 / (len(count) + 1)
+        lower = p(g[1:])
+        if not total[g[:-1]]:
             return lower
-        return max(pairs[u, w] - d[min(pairs[u, w], 3)], 0) / context[u] + sum(d[k] * n for k, n in kinds[u].items()) / context[u] * lower
+        n = levels[len(g)][g]
+        return max(n - d[len(g)][min(n, 3)], 0) / total[g[:-1]] + sum(d[len(g)][k] * m for k, m in kinds[g[:-1]].items()) / total[g[:-1]] * lower
 
-    total = sum(count.values())
-    assert abs(sum(p("two", w) for w in count) + p("two", "unseen") - 1) < 1e-9
+    context = ("two", "words", "und")[-(order - 1) :]
+    assert abs(sum(p((*context, w)) for w in count) + p((*context, "unseen")) - 1) < 1e-9
+    size = sum(count.values())
     for i, t in tokens.items():
         r = found[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(t), sum(count[w] > 0 for w in t), total)
-        assert math.isclose(r.score, sum(math.log10(p(u, w)) for u, w in zip(["<>", *t], t, strict=False)), rel_tol=1e-9)
-        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in t), rel_tol=1e-9)
-    assert kneser_ney.held_out_scores(none).count() == 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[w] > 0 for w in t), size)
+        assert math.isclose(r.score, sum(math.log10(p(tuple(padded(t)[k : k + order]))) for k in range(len(t))), rel_tol=1e-9)
+        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (size + len(count) + 1)) for w in t), rel_tol=1e-9)
+    if order == 2:
+        whole = {r.doc_id: r for r in kneser_ney.held_out_scores(docs).collect()}
+        assert all(whole[i].held_out == (i in held_ids) and math.isclose(whole[i].score, found[i].score, rel_tol=1e-9) for i in tokens)
+        assert kneser_ney.held_out_scores(none).count() == 0
 
 
 def test_registry():
