@@ -354,8 +354,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = spark.sparkContext.broadcast(_summed(found))
     members = found.where("slice IS NULL").select("id", "n", "digest", "key")
     classes = stored(members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("key").alias("key")), "jaccard-classes")
-    met = _dealt(read, n, percent, sketch).repartition("gram").sortWithinPartitions("gram", "size").mapInArrow(_met(percent), "a long, b long")
-    blocks = connected_components(met.distinct(), "a", "b")
+    met = cut(_dealt(read, n, percent, sketch).repartition("gram").sortWithinPartitions("gram", "size").mapInArrow(_met(percent), "a long, b long").distinct())
+    blocks = connected_components(met, "a", "b")
     survivors = stored(classes.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")), "key").select("id", "key", "copies", "n", "block"), "jaccard-blocks")
     weights = stored(survivors.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).where("rows > 1").select("block", F.ceil(F.col("grams") / F.lit(PIECE_GRAMS)).cast("int").alias("pieces")), "jaccard-pieces")
     survivors = survivors.join(weights, "block").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
