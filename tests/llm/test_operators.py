@@ -252,7 +252,7 @@ def test_top_k(spark):
     vectors = RNG.integers(-5, 5, (90, 4)).astype(float) / 64
     rows = [(i, [float(v) for v in x], 0, "q") for i, x in enumerate(vectors)] + [(90, None, 0, "q"), (91, [1.0, None, 0.0, 0.0], 0, "q"), (92, [float("nan")] * 4, 0, "q"), (93, [float("inf")] * 4, 0, "q"), (None, [0.0] * 4, 0, "q")]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block int, cell string")
-    whole = cover_tree.quantized(table)
+    whole = cover_tree.quantized(table.union(table.where("vec_id % 3 = 0")))
     found = cover_tree.top_k_inner_product(whole.where("vec_id % 20 = 0"), whole, 20, candidate_block=16, query_block=2)
     ints = np.floor(vectors.astype(np.float32).astype(float) * 64).astype(int)
     expected = {(q, k + 1, j, -s) for q in range(0, 90, 20) for k, (s, j) in enumerate(sorted((-int(ints[q] @ ints[j]), j) for j in range(90) if j != q)[:20])}
@@ -262,6 +262,30 @@ def test_top_k(spark):
     assert cover_tree.top_k_inner_product(whole.limit(0), whole).count() == 0 and cover_tree.top_k_inner_product(whole.limit(3), whole.limit(0)).count() == 0
 
 
+def test_far_blocks_are_left_out(spark):
+    rng = np.random.default_rng(41)
+    centres = rng.integers(-4000, 4000, (8, 6))
+    vectors = np.concatenate([c + rng.integers(-20, 20, (60, 6)) for c in centres])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, vec array<bigint>")
+    found = cover_tree.top_k_inner_product(table.where("vec_id % 9 = 0"), table, 5, candidate_block=20, query_block=10)
+    plain = {(q, k + 1, j, -s) for q in range(0, len(vectors), 9) for k, (s, j) in enumerate(sorted((-int(vectors[q] @ vectors[j]), j) for j in range(len(vectors)) if j != q)[:5])}
+    assert {tuple(r) for r in found.collect()} == plain
+    read = {name: spark.read.parquet(path) for name, path in _scratch(spark).items()}
+    assert read["first-pairs"].count() + read["then-pairs"].count() < 0.5 * read["block-pairs"].count()
+
+
+def _scratch(spark):
+    """The newest table of each label in the shared folder."""
+    import glob
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    found = {}
+    for path in sorted(glob.glob(f"{base}/pixelloom-*"), key=os.path.getmtime):
+        found[os.path.basename(path).removeprefix("pixelloom-").rpartition("-")[0]] = path
+    return found
+
+
 def test_warc_round_trip(spark):
     long = "é" * 30000
     same = "s" * 1500
