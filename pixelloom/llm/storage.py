@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset, a local one (tests only)."""
+    """The folder in ``spark.checkpoint.dir``; where unset, a local one, if the master is local too."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them and the driver share")
         base = tempfile.mkdtemp(prefix="pixelloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:

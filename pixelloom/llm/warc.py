@@ -58,8 +58,11 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def page_records(page_id: int, url: str, payload: bytes, sha1_hex: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of a page: a revisit, a response, or a response in segments."""
+def page_records(page_id: int, url: str, payload: bytes, sha1_hex: str, refers_to: int | None, segment_bytes: int = SEGMENT_BYTES, row: int = 0) -> list[bytes]:
+    """The records of a page: a revisit, a response, or a response in segments.
+
+    Segments are told by the page and by ``row``, so a page that stands in a table twice keeps them apart.
+    """
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1_hex)).decode()
     shared = {"WARC-Target-URI": url, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": digest}
     if refers_to is not None:
@@ -70,14 +73,14 @@ def page_records(page_id: int, url: str, payload: bytes, sha1_hex: str, refers_t
     if len(block) <= segment_bytes:
         return [record("response", str(page_id), block, shared)]
     cuts = range(0, len(block), segment_bytes)
-    out = []
+    out, origin = [], f"{page_id}/row/{row}"
     for number, at in enumerate(cuts, 1):
         fields = {"WARC-Segment-Number": str(number)}
         if number > 1:
-            fields |= {"WARC-Segment-Origin-ID": f"<urn:page:{page_id}>"}
+            fields |= {"WARC-Segment-Origin-ID": f"<urn:page:{origin}>"}
         if number == len(cuts):
             fields |= {"WARC-Segment-Total-Length": str(len(block))}
-        name = str(page_id) if number == 1 else f"{page_id}/segment/{number}"
+        name = origin if number == 1 else f"{origin}/segment/{number}"
         out.append(record("response" if number == 1 else "continuation", name, block[at : at + segment_bytes], (shared if number == 1 else {}) | fields))
     return out
 
@@ -88,21 +91,21 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
     Of equal payloads of at least 1000 bytes the one with the largest id is stored, the
     others revisit it. A null payload is empty, a null URL an empty one, in which line
     breaks become blanks; rows with a null id have no identifier and are left out. Rows
-    that repeat an id must not differ.
+    that repeat an id, alike or not, each have a record. A revisit names the page it refers to.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).where("page_id IS NOT NULL").withColumn("sha1", F.sha1("payload"))
     large = F.octet_length("payload") >= MIN_SHARED_BYTES
     # one narrow row for each payload that stands at least twice; the wide side of the join
     # may be split where a payload is very common
     stored = rows.where(large).groupBy("sha1").agg(F.max("page_id").alias("stored_as"), F.count("*").alias("n")).where("n > 1").select("sha1", "stored_as")
-    placed = rows.join(stored, "sha1", "left").select("page_id", "url", "payload", "sha1", F.when(large & (F.col("stored_as") != F.col("page_id")), F.col("stored_as")).alias("refers_to"))
+    placed = rows.join(stored, "sha1", "left").select("page_id", "url", "payload", "sha1", F.when(large & (F.col("stored_as") != F.col("page_id")), F.col("stored_as")).alias("refers_to"), F.monotonically_increasing_id().alias("row"))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 out = []
-                for row in zip(*[c.to_pylist() for c in batch.slice(start, 256).columns], strict=True):
-                    out += page_records(*row, segment_bytes=segment_bytes)
+                for *page, row in zip(*[c.to_pylist() for c in batch.slice(start, 256).columns], strict=True):
+                    out += page_records(*page, segment_bytes=segment_bytes, row=row)
                 yield pa.record_batch([pa.array([x[:-1] for x in out], pa.binary())], ["value"])
 
     # the writer ends each value with the line feed that was cut off, so files hold records only
@@ -184,7 +187,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
         names = [x.split()[0] for x in schema.split(", ")]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        number = lambda urn: int(urn.removeprefix("<urn:page:").removesuffix(">")) if urn else None
+        number = lambda urn: int(urn.removeprefix("<urn:page:").removesuffix(">").partition("/")[0]) if urn else None
         for batch in batches:
             out = []
             for record_id, kind, url, digest, refers_to, block in zip(*[c.to_pylist() for c in batch.columns], strict=True):

@@ -299,6 +299,9 @@ def test_warc_round_trip(spark):
         r = found[i]
         assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), kind, target)
         assert r.payload is None if kind == "revisit" else bytes(r.payload) == raw
+    twice = warc.warc_round_trip(pages.union(pages).union(spark.createDataFrame([(6, "u", long + "x", 1)], pages.schema)), segment_bytes=4096).collect()
+    assert sorted((r.page_id, bytes(r.payload or b"")) for r in twice if r.page_id == 6) == sorted([(6, long.encode())] * 2 + [(6, (long + "x").encode())])
+    assert len(twice) == 19 and sum(r.record_type == "revisit" for r in twice) == 4
     broken = warc.read_records(spark, _archives(spark, pages)).where("segment IS NULL OR segment <> 2")
     with pytest.raises(Exception, match="broken segments"):
         warc.reassembled(broken).collect()
