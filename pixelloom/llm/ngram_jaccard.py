@@ -71,14 +71,14 @@ def _cells(grams: np.ndarray) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, digest, key) of every text, and (slice, counts) of each task's sketch.
+    """(id, mark, n, digest, key) of every text, and (slice, counts) of each task's sketch.
 
     key is the first half of the digest. A set that a task meets again isn't counted again.
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = np.zeros(SKETCH, np.uint32), set()
-        names = ["id", "n", "digest", "key", "slice", "counts"]
+        names = ["id", "mark", "n", "digest", "key", "slice", "counts"]
         for batch in batches:
             sizes, marks, fresh = [], [], [np.zeros(0, np.int64)]
             for grams in wordhash.gram_sets(batch.column(1), n):
@@ -88,12 +88,12 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
                     seen.add(_key(mark))
                     fresh.append(_cells(grams))
             sketch += np.bincount(np.concatenate(fresh), minlength=SKETCH).astype(np.uint32)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array([_key(m) for m in marks], pa.int64()), pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())], names)
         parts = [(i, part) for i, part in enumerate(np.split(sketch, SLICES)) if part.any()]
-        empty = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+        empty = [pa.nulls(len(parts), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
         yield pa.record_batch([*empty, pa.array([i for i, _ in parts], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1) for _, part in parts], pa.binary())], names)
 
-    return docs.mapInArrow(digests, "id long, n long, digest binary, key long, slice int, counts binary")
+    return docs.select("id", "text", F.xxhash64("text").alias("mark")).mapInArrow(digests, "id long, mark long, n long, digest binary, key long, slice int, counts binary")
 
 
 def _summed(members: DataFrame) -> np.ndarray:
@@ -337,12 +337,13 @@ def _link_groups(percent: int):
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``(id, n_shingles, component_id, n_links, digest)``, a row for each row of ``docs`` with an id.
+    """``(id, n_shingles, component_id, n_links, component, mark)``, a row for each row of ``docs`` with an id.
 
     Two texts link when their sets of word ``n``-grams have Jaccard ``percent``/100 or more;
     ``component_id`` is the smallest id that links reach, itself included, and ``n_links``
-    the number of other rows that the text links with; texts with equal sets have equal
-    ``digest``. A text with fewer than ``n`` words has one gram, all of it; a null text or
+    the number of other rows that the text links with. ``component`` tells components apart
+    where an id stands for several texts (null: no n-gram, no links), and ``mark`` is the
+    text's xxhash64. A text with fewer than ``n`` words has one gram, all of it; a null text or
     one without words has none and no links. Rows with a null id are left out; rows that
     repeat an id count as one row each. Other columns, whatever their names, aren't read.
     An empty table gives an empty result.
@@ -352,7 +353,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = source.where("id IS NOT NULL")
     found = stored(_classes(read, n), "jaccard-members")
     sketch = spark.sparkContext.broadcast(_summed(found))
-    members = found.where("slice IS NULL").select("id", "n", "digest", "key")
+    members = found.where("slice IS NULL").select("id", "mark", "n", "digest", "key")
     classes = stored(members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("key").alias("key")), "jaccard-classes")
     met = cut(_dealt(read, n, percent, sketch).repartition("gram").sortWithinPartitions("gram", "size").mapInArrow(_met(percent), "a long, b long").distinct())
     blocks = connected_components(met, "a", "b")
@@ -373,8 +374,23 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(found, "key", "root").select(F.col("node").alias("key"), "component")
     linked = classes.join(roots, "key").join(found.groupBy("key").agg(F.sum("links").alias("links")), "key").select("digest", "id", "component", "links")
     least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-    linked = linked.join(least, "component").select("digest", "component_id", "links")
-    of_class = classes.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = linked.join(least, "component").select("digest", "component", "component_id", "links")
+    of_class = classes.join(linked, "digest", "left").select("digest", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     of_class = stored(of_class, "jaccard-results")  # written, so that the join below is all of its stage and a hot digest can be split
-    empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "digest")
-    return members.where("n > 0").join(of_class.hint("merge"), "digest").select("id", F.col("n").alias("n_shingles"), "component_id", "n_links", "digest").union(empty)
+    empty = members.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"), "mark")
+    return members.where("n > 0").join(of_class.hint("merge"), "digest").select("id", F.col("n").alias("n_shingles"), "component_id", "n_links", "component", "mark").union(empty)
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component of :func:`jaccard_groups`: that with the smallest id.
+
+    Of rows that agree in id the one with the smallest hash of its text, once. Rows without
+    an n-gram link with nothing and stay, once for each id; rows with a null id can't be
+    grouped and stay. All columns are kept, whatever their names; an empty table stays empty.
+    """
+    groups = jaccard_groups(docs, id_col, text_col, n, percent)
+    first = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("m")).select("m.id", "m.mark")
+    chosen = first.union(groups.where("component IS NULL").groupBy("id").agg(F.min("mark"))).select(F.col("id").alias("_kept_id"), F.col("mark").alias("_kept_mark"))
+    marked = docs.where(F.col(id_col).isNotNull()).withColumns({"_mark": F.xxhash64(F.col(text_col).cast("string")), "_id": F.col(id_col).cast("long")})
+    kept = marked.join(chosen.hint("merge"), (F.col("_id") == F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")), "left_semi").dropDuplicates(["_id", "_mark"])
+    return kept.drop("_id", "_mark").unionByName(docs.where(F.col(id_col).isNull()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import byte_bpe
 from .chat_tree import chat_digests
@@ -63,7 +64,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).withColumnRenamed("id", "doc_id").drop("digest")
+    return jaccard_groups(_table(spark, sf_dir, "documents"), n=5, percent=80).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "n_links")
 
 
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,15 @@ def test_jaccard_of_hot_groups_against_brute_force(spark, monkeypatch):
     assert sum(map(len, links)) > 10000
 
 
+def test_one_of_each_group_is_kept(spark, docs, none):
+    other = sentence(80, 50)
+    rows = [(5, BASE), (5, other), (5, other), (6, NEAR), (7, other), (8, None), (8, None), (9, " "), (None, BASE), (None, BASE)]
+    kept = ngram_jaccard.keep_first(passage_table(spark, [(i, t) for i, t in rows if t is not None]).unionByName(docs.where("doc_id = 4")))
+    found = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert found == sorted([(5, BASE), (5, other), (9, " "), (4, ""), (0, BASE), (0, BASE)]) and kept.columns == docs.columns
+    assert ngram_jaccard.keep_first(none).count() == 0
+
+
 def test_jaccard_across_sizes(spark):
     rows = []
     for case, size in enumerate([36, 40, 41, 50, 100, 125, 240, 300] * 4):
