@@ -1,4 +1,8 @@
-"""A pipeline over ``documents``: filter, deduplicate twice, mix, tokenize."""
+"""A pipeline over ``documents``: filter, deduplicate twice, mix, tokenize.
+
+Every stage reads doc_id, text and source and passes all other columns on, whatever their
+names, and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import byte_bpe
 from pixelloom.llm.mixing import poisson_mix
-from pixelloom.llm.ngram_jaccard import jaccard_groups
+from pixelloom.llm.ngram_jaccard import keep_first
 from pixelloom.llm.quality_rules import keep_quality
 from pixelloom.llm.registry import ranks
 from pixelloom.llm.storage import stored
@@ -16,31 +20,28 @@ from pixelloom.session import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them."""
     return keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id.
 
-    Documents without an id can't be grouped and stay.
+    Documents without an id can't be grouped and stay; equal rows stay once.
     """
     ship(spark)
-    groups = jaccard_groups(docs)
-    first = groups.where("id = component_id").select(F.col("id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    return keep_first(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go; ``n_chars`` follows the text."""
+    """Passages that an earlier document has go; ``n_chars`` follows the text. A text left bare goes; null ids and texts stay as they are."""
     ship(spark)
     cleaned = drop_passages(docs, repeated_passages(docs))
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated to their sources' target weights and shuffled."""
+    """Documents are repeated to their sources' target weights and shuffled; a null source is one of its own."""
     return poisson_mix(docs).select(*docs.columns)
 
 
