@@ -49,7 +49,7 @@ DROP = 6
 #: Share of its length that a chain scores where it is all seeds of one text copied: they stand some ``WINDOW / 2`` words apart.
 DENSE = 0.6
 #: A short chain is aligned if a stretch of a passage's length has this share of words from the other text.
-ALIKE = 0.7
+ALIKE = 0.76
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -62,10 +62,12 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def minimizers(codes: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the smallest of each ``window`` codes of a text, all of equals; of a text with fewer codes, of all.
+    """Positions of the smallest of each ``window`` codes of a text; of a text with fewer codes, of all.
 
     Text i has the codes from ``bounds[i]`` to ``bounds[i + 1]``. A code is chosen where the
-    largest of the minima of its windows is itself.
+    largest of the minima of its windows is itself. Of equal ones that follow one another
+    within half a window, as in a text that says one word over and over, one in half a
+    window stays, so every window still has one.
     """
     n, counts = len(codes), np.diff(bounds)
     chosen = np.zeros(n, bool)
@@ -79,7 +81,13 @@ def minimizers(codes: np.ndarray, bounds: np.ndarray, window: int) -> np.ndarray
         inside = np.repeat(short, counts)
         first = np.cumsum(counts[short]) - counts[short]
         chosen[inside] = codes[inside] == np.repeat(np.minimum.reduceat(codes[inside], first), counts[short])
-    return np.flatnonzero(chosen)
+    at = np.flatnonzero(chosen)
+    half = window // 2
+    new = np.ones(len(at), bool)
+    new[1:] = (codes[at[1:]] != codes[at[:-1]]) | (np.diff(at) > half) | np.isin(at[1:], bounds)
+    step = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) // half if len(at) else at
+    new[1:] |= step[1:] != step[:-1]
+    return at[new]
 
 
 #: Rows on their way to an earlier holder (no leader yet, dealt by the seed), or there (dealt by id; ``seed`` of long ones only).
@@ -141,7 +149,12 @@ def _matches(routed: DataFrame) -> DataFrame:
 
 
 def _seeds(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
-    """Routed rows of the seeds of every text: short ones, and long ones of half a passage."""
+    """Routed rows of the seeds of every text: short ones, and long ones of half a passage.
+
+    A short code that a text repeats is dealt out a second time, told apart by how many came
+    before it: any copy meets the first one of another text, and repetitive texts match
+    in order too.
+    """
     long = (min_words + 1) // 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,6 +171,15 @@ def _seeds(docs: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
                     seeds.append(codes[chosen])
                     owners.append(ids[start + row])
                     places.append(at if width == k else -1 - at)
+                    if width == k:
+                        by = np.lexsort((chosen, codes[chosen], row))
+                        new = np.ones(len(by), bool)
+                        new[1:] = (codes[chosen][by[1:]] != codes[chosen][by[:-1]]) | (row[by[1:]] != row[by[:-1]])
+                        turn = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) if len(by) else by
+                        again, turn = by[turn > 0], turn[turn > 0]
+                        seeds.append(wordhash.mix(codes[chosen][again] + turn.astype(np.uint64)))
+                        owners.append(ids[start + row][again])
+                        places.append(at[again])
             yield _first_holders(*(np.concatenate(x) for x in (seeds, owners, places)))
 
     return docs.mapInArrow(deal, _ROUTED)
@@ -184,8 +206,8 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K, gap_cost: float = GAP_COST,
     ``max_gap`` away, or overlaps the run, the predecessors within ``max_gap`` are looked
     through, so a far one never hides a near one.
     """
-    if not len(x):
-        return []
+    if len(x) < 2:
+        return [(float(k), [0])] * len(x)
     by, edges, gain = _runs(x, y, k, gap_cost)
     n = len(gain)
     if n == 1:
@@ -411,7 +433,9 @@ def may_be_passage(a: np.ndarray, b: np.ndarray, min_words: int = MIN_WORDS, ali
     """Whether a stretch of ``min_words`` words of a has enough words that stand in b, in whatever order."""
     if min(len(a), len(b)) < MIN_IDENTITY * min_words or len(a) < min_words:
         return False
-    count = np.concatenate([[0], np.cumsum(np.isin(a, b))])
+    known = set(b.tolist())
+    count = np.zeros(len(a) + 1, np.int64)
+    np.cumsum([word in known for word in a.tolist()], out=count[1:])
     return bool((count[min_words:] - count[:-min_words]).max() >= alike * min_words)
 
 

@@ -132,6 +132,10 @@ def test_chains_and_alignment():
     chosen = substring_dedup.minimizers(codes, bounds, 12).tolist()
     plain = {int(a + codes[a:b].argmin()) for low, high in zip(bounds[:-1], bounds[1:], strict=True) for a in range(low, max(high - 11, low + (high > low))) for b in [min(a + 12, high)]}
     assert chosen == sorted(plain)
+    same = np.concatenate([np.full(40, 7), codes[:20], np.tile(codes[:3], 12), codes[:5], np.full(3, 9)]).astype(np.uint64)
+    bounds = np.array([0, len(same) - 3, len(same)])
+    chosen = substring_dedup.minimizers(same, bounds, 12).tolist()
+    assert all(any(a <= c < a + 12 for c in chosen) for a in range(len(same) - 3 - 11)) and sum(c < 40 for c in chosen) <= 8 and chosen[-1] >= len(same) - 3
 
 
 def test_a_far_chain_hides_no_near_predecessor():
