@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containers, exif, makernotes, xmp
+from . import containers, exif, makernotes, patch, video, xmp
 from .tables import EXIF_TAGS, GPS_TAGS, IPTC_NAMES, LABELS, WRITABLE
 
 _MAP, _PA_MAP = "map<string,string>", pa.map_(pa.string(), pa.string())
@@ -21,7 +21,12 @@ def metadata_of(data: bytes) -> dict:
     tiff = containers.tiff_of(data)
     tags, plain = exif.named(tiff) if tiff else ({}, {})
     if tiff:
-        tags |= makernotes.parse(tiff, plain.get("Make", ""))
+        tags |= makernotes.parse(tiff, plain.get("Make", ""), plain.get("Model", ""))
+    movie = video.facts(data) if data[4:8] in (b"ftyp", b"moov", b"wide", b"mdat") else None
+    if movie:
+        named = {"Make": movie["make"], "Model": movie["model"], "Software": movie["software"]}
+        tags |= {k: str(v) for k, v in (named | {"ImageWidth": movie["width"], "ImageHeight": movie["height"], "CreateDate": movie["created"]}).items() if v}
+        plain |= {k: v for k, v in named.items() if v}
     latitude, longitude, altitude = exif.gps(plain)
     iptc: dict[str, list[str]] = {}
     for number, value in containers.iptc_datasets(data):
@@ -93,6 +98,16 @@ def set_tags(content: Column, tags: Column) -> Column:
     return _file(one, content, tags)
 
 
+def patch_orientation(content: Column, value: Column) -> Column:
+    """The JPEG file with its orientation overwritten where it stands."""
+    return _file(patch.orientation, content, value)
+
+
+def patch_date(content: Column, text: Column) -> Column:
+    """The file with its times overwritten where they stand."""
+    return _file(patch.date_time, content, text)
+
+
 def delete_exif(content: Column) -> Column:
     return _file(lambda data: containers.write_exif(data, exif.ExifData().serialize()), content)
 

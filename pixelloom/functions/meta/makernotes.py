@@ -1,11 +1,11 @@
-"""Maker notes of five vendors, as tables of rules: ``Vendor:Name`` to text.
+"""Maker notes as tables of rules: ``Vendor:Name`` to text; five vendors here, five in :mod:`vendors`.
 
 A rule reads one tag, or one number of a tag's array. Numbers without a label give nothing.
 """
 
 from __future__ import annotations
 
-from . import exif
+from . import exif, vendors
 
 # What the vendors' numbers stand for, as metadata tools name it.
 APPLE_NAMES = {
@@ -168,7 +168,7 @@ def fuji(note: bytes) -> dict[str, str]:
     return _labelled(exif.directory(note, int.from_bytes(note[8:12], "little"), "note", "little")[0], FUJI)
 
 
-def parse(tiff: bytes, make: str) -> dict[str, str]:
+def parse(tiff: bytes, make: str, model: str = "") -> dict[str, str]:
     """``Vendor:Name`` to text of the maker note in a TIFF stream, by the camera's make."""
     note = next((t for t in exif.entries(tiff) if t.ifd == "exif" and t.id == 0x927C), None)
     if note is None:
@@ -185,5 +185,8 @@ def parse(tiff: bytes, make: str) -> dict[str, str]:
     elif "fuji" in make:
         found, vendor = fuji(tiff[note.at :]), "FujiFilm"
     else:
-        return {}
+        vendor, reader = next((found for part, found in vendors.VENDORS.items() if part in make), (None, None))
+        if reader is None:
+            return {}
+        found = reader(tiff, note.at, note.order, model)
     return {f"{vendor}:{name}": value for name, value in found.items()}

@@ -39,12 +39,13 @@ _add("px_crop_rot90", lambda s, d: P.dihedral(P.crop(pixels(s, d), 1, 1, 3, 2),
 
 
 def _composite_sql(source: str, x: int, y: int, opacity: int, below: str = "px") -> str:
-    mix = lambda c: f"CAST(CASE WHEN al IS NULL OR al = 0 THEN d.{c} WHEN al = 255 OR d.a = 0 THEN s.{c} ELSE (CAST(s.{c} AS BIGINT) * al * 255 + CAST(d.{c} AS BIGINT) * d.a * (255 - al) + den // 2) // den END AS INTEGER) AS {c}"
-    return f"""{_PX}, below AS (SELECT * FROM {below}), over AS ({source}), joined AS (
-  SELECT d, s, al, al * 255 + d.a * (255 - al) AS den FROM (
-    SELECT d, s, (CAST(s.a AS BIGINT) * {opacity} + 127) // 255 AS al FROM below d LEFT JOIN over s ON d.image_id = s.image_id AND d.x = s.x + {x} AND d.y = s.y + {y}))
-SELECT d.image_id, d.w, d.h, d.y, d.x, {mix('r')}, {mix('g')}, {mix('b')},
-  CAST(CASE WHEN al IS NULL OR al = 0 THEN d.a WHEN al = 255 OR d.a = 0 THEN al ELSE (den + 127) // 255 END AS INTEGER) AS a FROM joined"""
+    mix = lambda c: f"CAST(CASE WHEN al IS NULL OR al = 0 THEN {c} WHEN al = 255 OR a = 0 THEN s{c} ELSE (CAST(s{c} AS BIGINT) * al * 255 + CAST({c} AS BIGINT) * a * (255 - al) + den // 2) // den END AS INTEGER) AS {c}"
+    return f"""WITH px AS MATERIALIZED ({PIXELS_SQL}),
+below AS MATERIALIZED (SELECT * FROM {below}),
+over AS MATERIALIZED (SELECT image_id, y + ({y}) AS y, x + ({x}) AS x, r AS sr, g AS sg, b AS sb, (CAST(a AS BIGINT) * {opacity} + 127) // 255 AS al FROM ({source})),
+joined AS (SELECT *, al * 255 + a * (255 - al) AS den FROM below LEFT JOIN over USING (image_id, y, x))
+SELECT image_id, w, h, y, x, {mix('r')}, {mix('g')}, {mix('b')},
+  CAST(CASE WHEN al IS NULL OR al = 0 THEN a WHEN al = 255 OR a = 0 THEN al ELSE (den + 127) // 255 END AS INTEGER) AS a FROM joined"""
 
 
 _SHIFTED = "SELECT image_id, w, h, y, x, 255 - r AS r, (g + 90) % 256 AS g, b, (a + 77) % 256 AS a FROM px"

@@ -7,7 +7,8 @@ import pytest
 
 from pixelloom.functions import codecs, heif
 from pixelloom.functions.codecs.base import image
-from pixelloom.functions.meta import columns, containers, exif, makernotes, xmp
+from pixelloom.functions.meta import columns, containers, exif, makernotes, patch, vendors, video, xmp
+from pixelloom.plans import binaries
 
 JPEG = codecs.encode(image(np.full((8, 8, 1), 99, np.uint8), "gray"), "jpeg")
 PNG = codecs.encode(image(np.full((8, 8, 1), 99, np.uint8), "gray"), "png")
@@ -181,3 +182,55 @@ def test_files_of_large_ids(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     found = {r.image_id: r for r in meta_queries._round_trip(spark, str(tmp_path)).collect()}
     assert {i: (r.iso, r.is_valid) for i, r in found.items()} == {i: (str(i * 100 % 65536), True) for i in (655, 656, 20000)}
+
+
+@pytest.mark.parametrize("data", [JPEG, PNG, exif.ExifData().serialize()])
+def test_values_are_overwritten_in_place(data):
+    full = tree()
+    full.set_date("2020:01:02 03:04:05")
+    written = containers.write_exif(data, full.serialize())
+    later = patch.date_time(written, "2021-02-03T04:05")
+    tags = dict(columns.metadata_of(later)["tags"])
+    assert len(later) == len(written) and tags["DateTimeOriginal"] == tags["ModifyDate"] == "2021:02:03 04:05:00"
+    for broken in ("", None, "2021-13-01", "yesterday"):
+        with pytest.raises(ValueError, match="not a date"):
+            patch.date_time(written, broken)
+    if data is JPEG:
+        turned = patch.orientation(written, 3)
+        assert columns.metadata_of(turned)["orientation"] == 3 and sum(a != b for a, b in zip(turned, written, strict=True)) == 1
+    else:
+        with pytest.raises(ValueError, match="not a JPEG"):
+            patch.orientation(written, 3)
+    for value in (0, 9, None):
+        with pytest.raises(ValueError, match="from 1 to 8"):
+            patch.orientation(written, value)
+    with pytest.raises(ValueError, match="no EXIF"):
+        patch.orientation(JPEG, 1)
+
+
+def test_movies():
+    for by_keys in (False, True):
+        data = binaries.movie(3_600_000_000, 640, 360, "Loom", "Two", by_keys)
+        assert video.facts(data) == {"make": "Loom", "model": "Two", "software": None, "width": 640, "height": 360, "created": "2018:01:28 16:00:00"}
+        assert columns.metadata_of(data)["camera_model"] == "Loom Two" and dict(columns.metadata_of(data)["tags"])["CreateDate"] == "2018:01:28 16:00:00"
+        for cut in range(0, len(data), 7):
+            video.facts(data[:cut])
+    assert video.facts(binaries.movie(0, 0, 0, "", "", False)) == dict.fromkeys(("make", "model", "software", "width", "height", "created")) and video.facts(JPEG) is None
+
+
+def test_vendor_notes():
+    block = bytes([2, 0x41, 0x11, 0x21, 0, 0x21, 56, 0x41, 5, 0, 0x31, 0, 0, 9, 1, 0, 0x20, 0xA4, 68 + 8 * 5 + 3, 68 + 32, 40, 66])
+    found = vendors.pentax_settings(block, True)
+    assert (found["PictureMode2"], found["E-DialInProgram"], found["FlashOptions"], found["FocusMode2"], found["WhiteBalanceSet"]) == ("Program AE", "P Shift", "Red-eye reduction", "AF-S", "Cloudy")
+    assert (found["AFPointSelected2"], found["DriveMode2"], found["ISOFloor"], found["RawAndJpgRecording"], found["JpgRecordedPixels"]) == ("Upper-left, Center", "Continuous, Exposure Bracket", "800", "RAW+JPEG (DNG, Best)", "6 MP")
+    assert (found["SRActive"], found["Rotation"], found["ISOSetting"], found["TvExposureTimeSetting"], found["AvApertureSetting"], found["SvISOSetting"], found["BaseExposureCompensation"]) == ("Yes", "Rotate 180", "Auto", "1/40", "4.0", "200", "-0.2")
+    exposure = vendors.pentax_exposure(bytes([104, 100, 40, 72, 0xF8, 104, 35, 0, 6, 84, 84, 148, 0x10]))
+    assert exposure == {"AEExposureTime": "1/21", "AEAperture": "4.0", "AE_ISO": "200", "AEXv": "1", "AEBXv": "-1", "AEMinExposureTime": "1/21", "AEApertureSteps": "6", "AEMaxAperture": "2.0", "AEMaxAperture2": "2.0", "AEMinAperture": "32", "AEMeteringMode": "Center-weighted average", "AEProgramMode": "Standard"}
+    assert vendors.pentax_settings(block[:5], True) == {} == vendors.pentax_exposure(b"")
+    for order, mark in (("little", b"II"), ("big", b"MM")):
+        tiff = binaries.tiff_with_note("PENTAX", b"AOC\0" + mark, [(0x0006, 7, 4, (2007).to_bytes(2, order) + b"\3\4"), (0x0007, 7, 3, b"\5\6\7"), (0x005C, 1, 2, b"\1\1"), (0x0002, 3, 2, (640).to_bytes(2, order) + (480).to_bytes(2, order))], order)
+        assert makernotes.parse(tiff, "PENTAX") == {"Pentax:Date": "2007:03:04", "Pentax:Time": "05:06:07", "Pentax:SRResult": "Stabilized", "Pentax:ShakeReduction": "On", "Pentax:PreviewImageSize": "640x480"}
+    tiff = binaries.tiff_with_note("OLYMPUS", b"OLYMP\0\1\0", [(0x0200, 4, 3, b"".join(v.to_bytes(4, "little") for v in (3, 2, 1))), (0x0204, 5, 1, b"\3\0\0\0\2\0\0\0"), (0x0205, 5, 1, b"\x27\0\0\0\5\0\0\0"), (0x0207, 2, 6, b"SR951\0"), (0x0208, 7, 20, b"[x] Resolution=2 Y=1")])
+    assert makernotes.parse(tiff, "Olympus") == {"Olympus:SpecialMode": "Panorama, Sequence: 2, Panorama: Left to right", "Olympus:DigitalZoom": "1.5", "Olympus:FocalPlaneDiagonal": "7.8 mm", "Olympus:CameraType": "C2000Z", "Olympus:Resolution": "2"}
+    for make, head in (("PENTAX", b"AOC"), ("Olympus", b"OLYMPUS\0"), ("Casio", b"QVC\0"), ("Sigma", b"SIGMA")):
+        assert makernotes.parse(binaries.tiff_with_note(make, head, []), make) == {}
