@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ def sniff(content: Column) -> Column:
 
 
 def _guarded(mode: str, one: Callable):
+    """``one`` of some values, or an error's (code, message); null of a null first value."""
     if mode not in ("permissive", "failfast"):
         raise ValueError("mode: permissive or failfast")
 
@@ -50,38 +52,87 @@ def _guarded(mode: str, one: Callable):
         except codecs.CodecError as error:
             if mode == "failfast":
                 raise
-            return {"error": {"code": error.code, "msg": str(error)}}
+            return error.code, str(error)
 
     return run
 
 
-def _plain(img: codecs.Image) -> dict:
-    return {"width": img.width, "height": img.height, "channels": img.channels, "colorspace": img.colorspace, "data": img.data.tobytes(), "error": None}
+def _binary(parts: list[np.ndarray | bytes | None]) -> pa.Array:
+    """A binary array from buffers, each copied once."""
+    sizes = np.array([0 if p is None else p.nbytes if isinstance(p, np.ndarray) else len(p) for p in parts], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a batch of images has to be under 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    data = np.empty(int(ends[-1]), np.uint8)
+    for p, start, end in zip(parts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if end > start:
+            data[start:end] = p.reshape(-1) if isinstance(p, np.ndarray) else np.frombuffer(p, np.uint8)
+    there = np.array([p is not None for p in parts], bool)
+    return pa.Array.from_buffers(pa.binary(), len(parts), [_bits(there), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)], int((~there).sum()))
 
 
-def _whole(x: dict) -> codecs.Image:
-    if x["error"] is not None or x["data"] is None:
-        raise codecs.CodecError((x["error"] or {}).get("code") or "invalid_arg", (x["error"] or {}).get("msg") or "no image")
-    return codecs.from_pixels(x["width"], x["height"], x["colorspace"], x["data"])
+def _bits(there: np.ndarray) -> pa.Buffer | None:
+    return None if there.all() else pa.py_buffer(np.packbits(there, bitorder="little"))
+
+
+def _struct(kind: pa.StructType, columns: list[pa.Array], there: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays(columns, fields=[kind.field(i) for i in range(kind.num_fields)], mask=None if there.all() else pa.array(~there))
+
+
+def _errors(found: list) -> pa.Array:
+    failed = [x if isinstance(x, tuple) else (None, None) for x in found]
+    return _struct(_ERROR, [pa.array([x[i] for x in failed], pa.string()) for i in range(2)], np.array([isinstance(x, tuple) for x in found], bool))
+
+
+def _images(found: list) -> pa.Array:
+    """Images, errors' (code, message) and nulls as an array; pixels are copied once, from their own buffers."""
+    good = [x if isinstance(x, codecs.Image) else None for x in found]
+    columns = [pa.array([None if x is None else getattr(x, name) for x in good], kind) for name, kind in (("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("colorspace", pa.string()))]
+    columns += [_binary([None if x is None else np.ascontiguousarray(x.data).reshape(-1).view(np.uint8) for x in good]), _errors(found)]
+    return _struct(_IMAGE, columns, np.array([x is not None for x in found], bool))
+
+
+def _blobs(found: list) -> pa.Array:
+    return _struct(_BLOB, [_binary([x if isinstance(x, bytes | bytearray) else None for x in found]), _errors(found)], np.array([x is not None for x in found], bool))
+
+
+def _views(values: pa.Array) -> list[memoryview | None]:
+    """The bytes of a binary array, in place."""
+    return [memoryview(v.as_buffer()) if v.is_valid else None for v in values]
+
+
+def _whole(values: pa.Array) -> list[Callable[[], codecs.Image] | None]:
+    """Of each image struct a function that gives the image, or raises its error; pixels stay where they are."""
+    fields = {name: values.field(name) for name in ("width", "height", "colorspace", "error")}
+    plain = {name: field.to_pylist() for name, field in fields.items()}
+    data, there = _views(values.field("data")), values.is_valid().to_pylist()
+
+    def of(i: int) -> codecs.Image:
+        error = plain["error"][i]
+        if error is not None or data[i] is None:
+            raise codecs.CodecError((error or {}).get("code") or "invalid_arg", (error or {}).get("msg") or "no image")
+        return codecs.from_pixels(plain["width"][i], plain["height"][i], plain["colorspace"][i], data[i])
+
+    return [(lambda i=i: of(i)) if there[i] else None for i in range(len(values))]
 
 
 def decode(content: Column, hint: str | None = None, mode: str = "permissive") -> Column:
-    one = _guarded(mode, lambda data: _plain(codecs.decode(data, hint)))
+    one = _guarded(mode, lambda data: codecs.decode(bytes(data), hint))
 
     @F.arrow_udf(IMAGE)
     def decoded(values: pa.Array) -> pa.Array:
-        return pa.array([one(v.as_py()) for v in values], _IMAGE)
+        return _images([one(v) for v in _views(values)])
 
     return decoded(content)
 
 
 def decode_scaled(content: Column, max_edge: int, mode: str = "permissive") -> Column:
     """Like :func:`decode`; JPEG an eighth as large where both sides keep ``max_edge`` pixels."""
-    one = _guarded(mode, lambda data: _plain(codecs.decode_scaled(data, max_edge)[0]))
+    one = _guarded(mode, lambda data: codecs.decode_scaled(bytes(data), max_edge)[0])
 
     @F.arrow_udf(IMAGE)
     def decoded(values: pa.Array) -> pa.Array:
-        return pa.array([one(v.as_py()) for v in values], _IMAGE)
+        return _images([one(v) for v in _views(values)])
 
     return decoded(content)
 
@@ -89,32 +140,32 @@ def decode_scaled(content: Column, max_edge: int, mode: str = "permissive") -> C
 def transform(img: Column, op: str, *args, mode: str = "permissive") -> Column:
     """``crop``, ``dihedral``, ``orient``, ``resize`` of an image column."""
     kernel = {"crop": kernels.crop, "dihedral": kernels.dihedral, "orient": kernels.orient, "resize": kernels.resize}[op]
-    one = _guarded(mode, lambda x: _plain(kernel(_whole(x), *args)))
+    one = _guarded(mode, lambda x: kernel(x(), *args))
 
     @F.arrow_udf(IMAGE)
     def changed(values: pa.Array) -> pa.Array:
-        return pa.array([one(v.as_py()) for v in values], _IMAGE)
+        return _images([one(x) for x in _whole(values)])
 
     return changed(img)
 
 
 def composite_over(dst: Column, src: Column, x: int = 0, y: int = 0, opacity: int = 255, mode: str = "permissive") -> Column:
-    one = _guarded(mode, lambda a, b: _plain(kernels.composite_over(_whole(a), _whole(b), x, y, opacity)))
+    one = _guarded(mode, lambda a, b: kernels.composite_over(a(), b(), x, y, opacity))
 
     @F.arrow_udf(IMAGE)
     def over(below: pa.Array, above: pa.Array) -> pa.Array:
-        return pa.array([one(a.as_py(), b.as_py()) if b.is_valid else None for a, b in zip(below, above, strict=True)], _IMAGE)
+        return _images([one(a, b) if b is not None else None for a, b in zip(_whole(below), _whole(above), strict=True)])
 
     return over(dst, src)
 
 
 def encode(img: Column, kind: str, quality: int = 90, mode: str = "permissive") -> Column:
     """``struct<data, error>`` of an image column as png, jpeg, bmp, qoi, pnm or tga."""
-    one = _guarded(mode, lambda x: {"data": codecs.encode(_whole(x), kind, quality), "error": None})
+    one = _guarded(mode, lambda x: codecs.encode(x(), kind, quality))
 
     @F.arrow_udf(BLOB)
     def encoded(values: pa.Array) -> pa.Array:
-        return pa.array([one(v.as_py()) for v in values], _BLOB)
+        return _blobs([one(x) for x in _whole(values)])
 
     return encoded(img)
 

@@ -37,12 +37,25 @@ def _along_rows(values: np.ndarray, n: int, kind: str) -> np.ndarray:
     at, weight = _matrix(values.shape[1], n, kind)
     out = np.zeros((values.shape[0], n, values.shape[2]), _f)
     for k in range(at.shape[1]):
-        out += weight[None, :, k, None] * values[:, at[:, k]]
+        taken = np.take(values, at[:, k], axis=1)
+        taken *= weight[None, :, k, None]
+        out += taken
+    return out
+
+
+def _along_columns(values: np.ndarray, n: int, kind: str) -> np.ndarray:
+    """First axis resampled alike."""
+    at, weight = _matrix(values.shape[0], n, kind)
+    out = np.zeros((n, *values.shape[1:]), _f)
+    for k in range(at.shape[1]):
+        taken = values[at[:, k]]
+        taken *= weight[:, k, None, None]
+        out += taken
     return out
 
 
 def _byte(v: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(np.clip(v, 0, 255) + _f(0.5)), 0, 255).astype(np.uint8)
+    return np.minimum(np.clip(v, 0, 255) + _f(0.5), _f(255)).astype(np.uint8)
 
 
 def resize(img: Image, w: int, h: int, kind: str = "bilinear") -> Image:
@@ -54,17 +67,17 @@ def resize(img: Image, w: int, h: int, kind: str = "bilinear") -> Image:
     if kind not in ("bilinear", "box"):
         fail("invalid_arg", f"unknown filter {kind}")
     if img.colorspace != "rgba":
-        wide = _along_rows(img.data.astype(_f), w, kind)
-        return image(_byte(_along_rows(wide.transpose(1, 0, 2), h, kind).transpose(1, 0, 2)), img.colorspace)
+        return image(_byte(_along_columns(_along_rows(img.data.astype(_f), w, kind), h, kind)), img.colorspace)
     at, weight = _matrix(img.width, w, kind)
     wide = np.zeros((img.height, w, 4), _f)
     source = img.data.astype(_f)
     for k in range(at.shape[1]):
-        taken = source[:, at[:, k]]
+        taken = np.take(source, at[:, k], axis=1)
         alpha = weight[None, :, k] * taken[:, :, 3]
-        wide[:, :, :3] += (alpha / _f(255))[:, :, None] * taken[:, :, :3]
-        wide[:, :, 3] += alpha
-    tall = _along_rows(wide.transpose(1, 0, 2), h, kind).transpose(1, 0, 2)
+        taken[:, :, :3] *= (alpha / _f(255))[:, :, None]
+        taken[:, :, 3] = alpha
+        wide += taken
+    tall = _along_columns(wide, h, kind)
     alpha = _byte(tall[:, :, 3])
     with np.errstate(divide="ignore", invalid="ignore"):
         freed = tall[:, :, :3] * _f(255) / tall[:, :, 3:]
@@ -104,15 +117,22 @@ def composite_over(dst: Image, src: Image, x: int = 0, y: int = 0, opacity: int
     x0, y0, x1, y1 = max(0, x), max(0, y), min(dst.width, x + src.width), min(dst.height, y + src.height)
     if x0 >= x1 or y0 >= y1 or not opacity:
         return image(out, "rgba")
-    top = src.data[y0 - y : y1 - y, x0 - x : x1 - x].astype(np.int64)
-    own = top[:, :, 3:4] if src.channels == 4 else np.full((*top.shape[:2], 1), 255)
-    colour = np.repeat(top[:, :, :1], 3, 2) if src.channels == 1 else top[:, :, :3]
-    below = out[y0:y1, x0:x1].astype(np.int64)
-    alpha = (own * opacity + 127) // 255
-    under = below[:, :, 3:4]
-    weight = alpha * 255 + under * (255 - alpha)
-    mixed = (colour * alpha * 255 + below[:, :, :3] * under * (255 - alpha) + weight // 2) // np.maximum(weight, 1)
-    copied = (alpha == 255) | (under == 0)
-    new = np.concatenate([np.where(copied, colour, mixed), np.where(copied, alpha, (weight + 127) // 255)], 2)
-    out[y0:y1, x0:x1] = np.where(alpha == 0, below, new)
+    top, below = src.data[y0 - y : y1 - y, x0 - x : x1 - x], out[y0:y1, x0:x1]
+    colour = top[:, :, :1] if src.channels == 1 else top[:, :, :3]
+    share = ((np.arange(256) * opacity + 127) // 255).astype(np.uint8)
+    own = share[top[:, :, 3]] if src.channels == 4 else share[255]
+    if np.all(own == 255):
+        below[:, :, :3], below[:, :, 3] = colour, 255
+        return image(out, "rgba")
+    alpha, under = np.broadcast_to(own, below.shape[:2]).astype(np.int32), below[:, :, 3].astype(np.int32)
+    upper, lower = alpha * 255, under * (255 - alpha)
+    weight = upper + lower
+    # exact in double precision: both numbers are whole and small
+    half, size = (weight // 2).astype(np.float64), np.maximum(weight, 1).astype(np.float64)
+    copied, kept = (alpha == 255) | (under == 0), alpha == 0
+    for c in range(3):
+        above = colour[:, :, c if colour.shape[2] > 1 else 0]
+        mixed = ((above * upper + below[:, :, c] * lower + half) / size).astype(np.uint8)
+        below[:, :, c] = np.where(kept, below[:, :, c], np.where(copied, above, mixed))
+    below[:, :, 3] = np.where(kept, under, np.where(copied, alpha, (weight + 127) // 255))
     return image(out, "rgba")
