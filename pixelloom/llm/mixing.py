@@ -12,6 +12,8 @@ TAIL = 10
 #: The tables of all sources are broadcast if they hold at most so many numbers (8 MB);
 #: else they are joined by source, and the engine splits hot ones.
 BROADCAST_NUMBERS = 1_000_000
+#: Largest mean that is inverted by a table of the whole distribution.
+TABLE_RATE = 1000.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -35,6 +37,20 @@ def poisson_table(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["all"])).otherwise(F.array(F.lit(1.0)))
 
 
+def normal_quantile(u: Column) -> Column:
+    """Of a number of (0, 1), within 0.00045: rational approximation 26.2.23 of Abramowitz and Stegun."""
+    tail = F.greatest(F.least(u, 1 - u), F.lit(2.0**-53))
+    t = F.sqrt(-2 * F.log(tail))
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+    return F.when(u < 0.5, -z).otherwise(z)
+
+
+def large_count(u: Column, rate: Column) -> Column:
+    """Inverse Poisson distribution of a large mean, by the Cornish-Fisher expansion."""
+    z = normal_quantile(u)
+    return F.greatest(F.lit(0), F.ceil(rate + z * F.sqrt(rate) + (z * z - 1) / 6 - 0.5)).cast("int")
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", budget: float = 1.0) -> DataFrame:
     """``(source, chars, rate)``: how often each source's documents are repeated on average.
 
@@ -63,21 +79,23 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, seed:
     The number is the inverse distribution function at a hash of seed and id, so it depends
     on nothing but these, and reruns and lost tasks give the same rows. Adds ``mix_copy``
     (from 1), ``mix_copies`` and ``mix_order``, by which the rows are sorted across all
-    partitions: a random order that spreads copies. Rows with a null id hash as "null";
+    partitions: a random order that spreads copies. Means over ``TABLE_RATE``, of a source that
+    is tiny beside its weight, are inverted by an expansion, some thousandths of a standard
+    deviation off. Rows with a null id hash as "null";
     rows that repeat an id are repeated alike. Other columns are kept; those of the three
     names are replaced. An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c not in ("mix_copy", "mix_copies", "mix_order")]
     texts = docs.select(F.col(source_col).alias("source"), F.col("text").cast("string").alias("text"))
-    rates = source_rates(texts, weights, "source", budget).select(F.col("source").alias("_mix_source"), poisson_table(F.col("rate")).alias("_mix_table"))
+    rates = source_rates(texts, weights, "source", budget).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"), F.when(F.col("rate") <= TABLE_RATE, poisson_table(F.least(F.col("rate"), F.lit(TABLE_RATE)))).alias("_mix_table"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rates = cut(rates)
-    numbers = rates.agg(F.sum(F.size("_mix_table"))).first()[0] or 0
+    numbers = rates.agg(F.sum(F.greatest(F.size("_mix_table"), F.lit(1)))).first()[0] or 0
     if numbers <= BROADCAST_NUMBERS:
         rates = F.broadcast(rates)
     drawn = docs.select(*own, uniform(key, seed).alias("_mix_u"))
     joined = drawn.join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")), "left")
-    counted = joined.withColumn("mix_copies", F.size(F.filter("_mix_table", lambda p: p <= F.col("_mix_u")))).where("mix_copies > 0")
+    counted = joined.withColumn("mix_copies", F.when(F.col("_mix_table").isNull(), large_count(F.col("_mix_u"), F.col("_mix_rate"))).otherwise(F.size(F.filter("_mix_table", lambda p: p <= F.col("_mix_u"))))).where("mix_copies > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     ordered = copies.withColumn("mix_order", F.md5(F.concat(F.lit(f"{seed}/order:"), key, F.lit(":"), F.col("mix_copy").cast("string"))))
     result = ordered.select(*own, "mix_copy", "mix_copies", "mix_order")

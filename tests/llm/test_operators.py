@@ -255,6 +255,14 @@ def test_mixing(spark, docs, none):
     mean = mixing.poisson_mix(many, {"x": 0.5, "y": 0.5}, shuffle=False).groupBy("source").count().collect()
     assert all(abs(r["count"] - 10000) < 400 for r in mean)
     assert mixing.poisson_mix(none).count() == 0
+    tiny = spark.createDataFrame([(1, "x" * 10, "t"), (2, "y" * 100000, "h")], "doc_id long, text string, source string")
+    rate = 100010 * 0.5 / 10
+    (row,) = mixing.poisson_mix(tiny, {"t": 0.5, "h": 0.5}).where("source = 't'").select("mix_copies").distinct().collect()
+    u, k, total, term = int(hashlib.md5(b"mix:1").hexdigest()[:13], 16) / 2**52, 0, 0.0, -rate
+    while (total := total + math.exp(term)) <= u:
+        k += 1
+        term += math.log(rate / k)
+    assert abs(row.mix_copies - k) <= 1
 
 
 def test_top_k(spark):
