@@ -1,7 +1,8 @@
 """Language identification by error-correcting output codes over character n-grams.
 
-Every language has a codeword. A binary classifier for each bit, linear in hashed n-grams,
-tells the languages with a 1 from those with a 0. A text's language is the one whose
+Every language has a codeword. A binary classifier for each bit, naive Bayes over hashed
+n-grams with every language of a side counting alike, tells the languages with a 1 from
+those with a 0. A text's language is the one whose
 codeword has the least loss over the classifiers' margins, each weighted by how well it
 separates the languages.
 """

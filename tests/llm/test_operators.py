@@ -372,6 +372,57 @@ def test_languages(spark, docs, none):
     assert {r.lang_pred for r in language_id.held_out_languages(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_ngrams(text):
+    """Hashed n-grams of the words of letters, with a blank on either side, without numpy."""
+    found = []
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        padded = f" {word} "
+        for n in language_id.ORDERS:
+            for at in range(len(padded) - n + 1):
+                gram = padded[at : at + n]
+                if gram.strip() and not (n == 1 and gram == " "):
+                    code = n
+                    for c in gram:
+                        code = ((code ^ ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                        code ^= code >> 15
+                    found.append(code % language_id.FEATURES)
+    return found
+
+
+def test_languages_against_plain_codes(spark):
+    rng = np.random.default_rng(14)
+    sounds = {"aa": ["ba", "lo", "mi"], "bb": ["sch", "tz", "ung"], "cc": ["ção", "nh", "lh"], "dd": ["ka", "mi", "ung"]}
+    rows = [(i, " ".join("".join(rng.choice(sounds[lang], 2)) for _ in range(1 + i % 12)), lang) for i in range(80) for lang in [list(sounds)[i % 4]]]
+    rows[7] = (7, "Ba-lo 12 ção! SCH", "aa")
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language_id.held_out_languages(table).collect()}
+    languages, counts = sorted(sounds), {}
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts.setdefault(lang, Counter()).update(plain_ngrams(text))
+    share = {}
+    for lang in languages:
+        total = sum(counts[lang].values()) + language_id.PRIOR * language_id.FEATURES
+        share[lang] = lambda f, c=counts[lang], t=total: (c[f] + language_id.PRIOR) / t
+    code = language_id.codewords(4)
+    sides = [[[lang for lang, sign in zip(languages, code[:, b], strict=True) if sign == s] for s in (1, -1)] for b in range(code.shape[1])]
+    weight = lambda b, f: math.log(np.mean([share[x](f) for x in sides[b][0]])) - math.log(np.mean([share[x](f) for x in sides[b][1]]))
+    seen = sorted({f for c in counts.values() for f in c})
+    weights = {f: [weight(b, f) for b in range(len(sides))] for f in seen}
+    rest = [weight(b, next(f for f in range(language_id.FEATURES) if f not in weights)) for b in range(len(sides))]
+    n_rest = language_id.FEATURES - len(seen)
+    unseen = {lang: share[lang](next(f for f in range(language_id.FEATURES) if f not in weights)) for lang in languages}
+    margins = np.array([[code[i, b] * (sum(share[lang](f) * weights[f][b] for f in seen) + n_rest * unseen[lang] * rest[b]) for b in range(len(sides))] for i, lang in enumerate(languages)])
+    reliable = np.maximum(margins.min(axis=0), 1e-3)
+    scale = 4 / np.median(margins)
+    for i, text, _ in rows:
+        grams = plain_ngrams(text)
+        mean = [sum(weights.get(f, rest)[b] for f in grams) / len(grams) for b in range(len(sides))]
+        loss = [sum(r * math.log1p(math.exp(-scale * m * code[k, b])) for b, (r, m) in enumerate(zip(reliable / reliable.sum(), mean, strict=True))) for k in range(4)]
+        likely = [math.exp(-3 * (x - min(loss))) for x in loss]
+        assert found[i].lang_pred == languages[int(np.argmin(loss))] and math.isclose(found[i].score, max(likely) / sum(likely), rel_tol=1e-4)
+
+
 @pytest.mark.parametrize("order", [2, 3, 4])
 def test_language_model(docs, none, order):
     held_ids = [i for i, *_ in ROWS if i is not None and zlib.crc32(str(i).encode()) % 7 == 2]
