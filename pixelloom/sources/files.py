@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import posixpath
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,35 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
     return files.withColumn("format", images.sniff(F.col("content")))
 
 
+def _is_mounted(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def read_headers(spark: SparkSession, path: str, header_bytes: int = HEADER_BYTES, glob: str | None = None) -> DataFrame:
-    """Like :func:`read_files`, but only the first ``header_bytes`` of each file leave the scan's task."""
-    return read_files(spark, path, glob).withColumn("content", F.substring("content", 1, header_bytes))
+    """Like :func:`read_files`, but only the first ``header_bytes`` of each file.
+
+    In a mounted folder no more than those are read: the scan only lists the files. In
+    another store the scan reads files whole and cuts them in its task. A file that goes
+    away meanwhile has a null content.
+    """
+    files = read_files(spark, path, glob)
+    if not _is_mounted(spark, path):
+        return files.withColumn("content", F.substring("content", 1, header_bytes))
+
+    def heads(batches):
+        for batch in batches:
+            found = []
+            for uri in batch.column(0).to_pylist():
+                try:
+                    with open(unquote(urlparse(uri).path), "rb") as file:
+                        found.append(file.read(header_bytes))
+                except FileNotFoundError:
+                    found.append(None)
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "content"])
+
+    listed = files.select("path", "modificationTime", "length").mapInArrow(heads, FILES)
+    return listed.withColumn("format", images.sniff(F.col("content")))
 
 
 def stream_files(spark: SparkSession, path: str, glob: str | None = None, max_files: int = 1000) -> DataFrame:
