@@ -477,8 +477,75 @@ def _aligned(coded: DataFrame, chains: DataFrame, k: int, min_words: int, min_id
     return both.sortWithinPartitions("id", "n_words", F.desc("score"), "leader").mapInArrow(aligned, _PASSAGES).dropDuplicates()
 
 
-def _open_runs(matches: DataFrame, coded: DataFrame, found: DataFrame, k: int, min_words: int) -> DataFrame:
-    """Matches of the runs of ``min_words`` words that ``found`` leaves open, at their first and last seed.
+def _thinned(codes: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Which of the places ``at`` of runs to keep where a text repeats a run within ``step`` words: one in a step, and the last."""
+    by = np.lexsort((at, codes))
+    new = np.ones(len(by), bool)
+    new[1:] = (codes[by[1:]] != codes[by[:-1]]) | (np.diff(at[by]) > step)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0)) if len(by) else by
+    part = (at[by] - at[by][first]) // step
+    kept = new.copy()
+    kept[1:] |= part[1:] != part[:-1]
+    kept[:-1] |= new[1:]
+    kept[-1:] = True
+    out = np.zeros(len(by), bool)
+    out[by] = kept
+    return out
+
+
+def _joined(min_words: int):
+    """mapInArrow over matches of runs sorted by id: passages of equal words, as few as cover a document's runs."""
+
+    def of_document(me: int, leader: np.ndarray, at: np.ndarray, leader_at: np.ndarray, out: list[tuple]) -> None:
+        shift = leader_at - at
+        by = np.lexsort((at, shift, leader))
+        leader, at, shift = leader[by], at[by], shift[by]
+        new = np.ones(len(at), bool)
+        new[1:] = (leader[1:] != leader[:-1]) | (shift[1:] != shift[:-1]) | (np.diff(at) > min_words)
+        starts = np.flatnonzero(new)
+        ends = at[np.append(starts[1:], len(at)) - 1] + min_words
+        rows = sorted(zip(at[starts].tolist(), ends.tolist(), leader[starts].tolist(), shift[starts].tolist(), strict=True))
+        reach, i = -1, 0
+        while i < len(rows):
+            best = None
+            while i < len(rows) and (best is None or rows[i][0] <= max(reach, best[0])):
+                best = rows[i] if best is None or rows[i][1] > best[1] else best
+                i += 1
+            if best[1] > reach:
+                start, reach, source, moved = best[0], best[1], best[2], best[3]
+                out.append((me, start, reach, source, start + moved, reach + moved, reach - start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        names = [x.split()[0] for x in _PASSAGES.split(", ")][:7]
+
+        def done(cols: list[np.ndarray]) -> pa.RecordBatch:
+            out: list[tuple] = []
+            edges = [0, *(np.flatnonzero(np.diff(cols[0])) + 1).tolist(), len(cols[0])]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if b > a:
+                    of_document(int(cols[0][a]), *[c[a:b].astype(np.int64) for c in cols[1:]], out)
+            return pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], names)
+
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            if not len(cols[0]):
+                continue
+            if parts and cols[0][-1] == parts[-1][0][-1]:
+                parts.append([c.copy() for c in cols])
+                continue
+            cols = [np.concatenate(x) for x in zip(*parts, cols, strict=True)]
+            last = int(np.argmax(cols[0] == cols[0][-1]))
+            parts = [[c[last:].copy() for c in cols]]
+            yield done([c[:last] for c in cols])
+        if parts:
+            yield done([np.concatenate(x) for x in zip(*parts, strict=True)])
+
+    return run
+
+
+def _open_runs(matches: DataFrame, coded: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """Passages of equal words around the runs of ``min_words`` words that ``found`` leaves open.
 
     Every such run that stands word for word in a smaller document has a long seed; around
     those that no passage covers, all runs of all holders are dealt out by all their words.
@@ -502,14 +569,17 @@ def _open_runs(matches: DataFrame, coded: DataFrame, found: DataFrame, k: int, m
                 at = batch.column(2)[i].values.to_numpy().astype(np.int64)
                 at = np.unique(at[:, None] - np.arange(span))
                 at = at[(at >= 0) & (at < len(codes))]
+                at = at[_thinned(codes[at], at, span)]
                 runs.append(codes[at])
                 starts.append(at)
                 owners.append(np.full(len(at), ids[i], np.int64))
             yield _first_holders(*(np.concatenate(x) for x in (runs, owners, starts)))
 
     runs = _matches(coded.join(places.hint("merge"), "id").select("id", "words", "places").mapInArrow(deal, _ROUTED))
-    ends = F.explode(F.array(F.lit(0), F.lit(min_words - k))).alias("_end")
-    return runs.select("id", "leader", "at", "leader_at", ends).select("id", "leader", (F.col("at") + F.col("_end")).alias("at"), (F.col("leader_at") + F.col("_end")).alias("leader_at"))
+    rows = runs.select("id", "leader", "at", "leader_at").repartition("id").sortWithinPartitions("id")
+    joined = rows.mapInArrow(_joined(min_words), ", ".join(_PASSAGES.split(", ")[:7]))
+    sizes = coded.select(F.col("id").alias("doc_id"), (F.octet_length("words") / 4).cast("long").alias("n_words")).distinct()
+    return joined.join(sizes.hint("merge"), "doc_id").where("end_word <= n_words").select(*[x.split()[0] for x in _PASSAGES.split(", ")])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
@@ -531,8 +601,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chains = _chains(matches, k, min_words, "passage-chains")
     coded = _coded(read, chains)
     found = stored(_aligned(coded, chains, k, min_words, min_identity), "passages")
-    left = _chains(_open_runs(matches, coded, found, k, min_words), k, min_words, "passage-runs-left")
-    rest = _aligned(coded, left, k, min_words, min_identity)
+    rest = _open_runs(matches, coded, found, min_words)
     known = found.select(F.col("doc_id").alias("known"), F.col("start_word").alias("known_start"), F.col("end_word").alias("known_end")).distinct()
     rest = rest.join(known.hint("merge"), (F.col("doc_id") == F.col("known")) & (F.col("known_start") <= F.col("start_word")) & (F.col("known_end") >= F.col("end_word")), "left_anti")
     return found.union(rest)

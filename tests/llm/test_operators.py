@@ -150,6 +150,8 @@ def test_passages_against_brute_force(spark):
     for i in range(20, 60):  # lines and passages that many share, repeats within a text
         parts = [sentence(int(rng.integers(20, 90)), 1000 + i)] + [[line] * int(rng.integers(1, 9)), [hot], [hot, sentence(5, i), hot], [" ".join(hot.split()[: int(rng.integers(45, 56))])]][i % 4]
         rows.append((i, "\n".join(parts[j] for j in rng.permutation(len(parts)))))
+    for i in range(700, 712):  # one word over and over, and short cycles
+        rows.append((i, sentence(20, i) + " " + " ".join(["spam"] * (60 + 13 * (i % 4))) + " " + sentence(9, 35) + " " + " ".join(["one two three"] * (12 + 5 * (i % 5)))))
     fuzzy = {}
     for i in range(60, 140, 2):  # passages with a tenth of the words changed
         passage = sentence(80, 3000 + i).split()
