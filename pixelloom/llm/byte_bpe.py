@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 #: Texts of more characters are encoded in pieces of about so many.
 PIECE_CHARS = 65_536
-#: Where every match of the pattern ends: a word, number or sign never runs on into a
-#: space or line feed, and only runs of white space look ahead. Letters and digits
-#: never share a match. ASCII only, so the tables of no library matter.
-SAFE = re.compile(r"(?<=[!-~])(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+# Fixed value: the split pattern that texts may be cut for.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where every match of that pattern ends: a word, number or sign never runs on into a
+#: space or line feed, and only runs of white space look ahead. Letters and digits never
+#: share a match, nor do letters and signs after them. Letters, digits and signs are named
+#: one by one, so the tables of no library matter.
+SAFE = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[\u4E00-\u9FA5\u3041-\u3096\u30A1-\u30FA\uAC00-\uD7A3])(?=[、。，！？；：「」（）])")
 _encodings: dict[tuple[str, str], object] = {}
 
 
@@ -49,8 +52,12 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode(encoding, text: str, size: int = PIECE_CHARS) -> np.ndarray:
-    """Token ids of the whole text, as little-endian unsigned 32-bit integers."""
-    if len(text) <= size:
+    """Token ids of the whole text, as little-endian unsigned 32-bit integers.
+
+    Texts are cut for :data:`CUT_PATTERN` only; with another pattern, or without a safe
+    place, as in one long run of emoji, a text is encoded whole.
+    """
+    if len(text) <= size or encoding._pat_str != CUT_PATTERN:
         return np.array(encoding.encode_ordinary(text), "<u4")
     return np.concatenate([np.array(encoding.encode_ordinary(p), "<u4") for p in pieces(text, size)])
 
@@ -59,7 +66,7 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "t
     """``docs`` with ``ids_col``: the text's token ids, packed as little-endian uint32 (BINARY).
 
     Null and empty texts have an empty value. ``ids_col`` replaces a column of its name;
-    all others are kept.
+    all others are kept. Rows that repeat are coded alike, an empty table stays empty.
     """
 
     @F.pandas_udf("binary")
@@ -86,7 +93,10 @@ def bpe_decode(docs: DataFrame, rank_path: str, pattern: str, ids_col: str = "id
 
 
 def bpe_digests(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode, and digest both: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``."""
+    """Encode, decode, and digest both: ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``.
+
+    A row for each row of ``docs``, repeated and null ids included; other columns aren't read.
+    """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     coded = bpe_decode(bpe_encode(texts, rank_path, pattern), rank_path, pattern)
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

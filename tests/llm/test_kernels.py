@@ -114,6 +114,8 @@ def test_bpe_pieces_are_safe():
         text = "".join(rng.choice("ab 1'\n\ts é  . !漢😀 \x1c ") for _ in range(120))
         assert byte_bpe.encode(encoding, text, 7).tolist() == encoding.encode_ordinary(text)
         assert "".join(byte_bpe.pieces(text, 7)) == text
+    other = byte_bpe.load_encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"[^x]+|x")
+    assert byte_bpe.CUT_PATTERN == public_tokenizers.PATTERN and byte_bpe.encode(other, "a b1 " * 9, 5).tolist() == other.encode_ordinary("a b1 " * 9)
     ids = byte_bpe.encode(encoding, "<|endoftext|>x" * 9, 5).tolist()
     assert ids == encoding.encode_ordinary("<|endoftext|>x" * 9) and encoding.decode_bytes(ids) == b"<|endoftext|>x" * 9
 
