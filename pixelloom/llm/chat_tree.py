@@ -109,9 +109,11 @@ def prefix_tree(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
         offsets.append((part, total))
         total += n
     base = ordered.sparkSession.createDataFrame(offsets, "part int, base long")
-    subtree = ordered.select(F.explode(F.expr("transform(sequence(0, depth), i -> substring(path, 16 * i + 1, 16))")).alias("key"), "n_tokens").groupBy("key").agg(F.sum("n_tokens").alias("below"))
-    placed = ordered.join(F.broadcast(base), "part").join(subtree, "key").withColumn("emit_start", F.col("base") + F.col("start"))
-    nodes = placed.select("key", "parent", "depth", "emit_start", (F.col("emit_start") + F.col("n_tokens")).alias("emit_end"), (F.col("emit_start") + F.col("below")).alias("attended_until"), "position_start", "segment", "text_low", "text_high", "learned")
+    placed = ordered.join(F.broadcast(base), "part").withColumn("emit_start", F.col("base") + F.col("start")).withColumn("emit_end", F.col("emit_start") + F.col("n_tokens"))
+    # a node's tokens are attended to until the last of the conversations that go through it ends
+    ends = each.where("last").select("conv_id", "key").join(placed.select("key", "emit_end"), "key").select("conv_id", F.col("emit_end").alias("end"))
+    until = each.select("conv_id", "key").join(ends, "conv_id").groupBy("key").agg(F.max("end").alias("attended_until"))
+    nodes = placed.join(until, "key").select("key", "parent", "depth", "emit_start", "emit_end", "attended_until", "position_start", "segment", "text_low", "text_high", "learned")
     return nodes, each.where("last").select("conv_id", F.col("key").alias("leaf"), "path")
 
 
