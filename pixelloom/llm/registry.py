@@ -127,4 +127,42 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN m USING (payload_digest)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op1_cover_tree": OP1_SQL, "op5_mix_sources": OP5_SQL}
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows WHERE conv_id IS NOT NULL
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(19 + 2 * length(role || text) - length(translate(role || text, '\<[/', ''))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM split
+), sizes AS (
+  SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM sets
+), grams AS (
+  SELECT doc_id, unnest(g) AS gram FROM sets
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM grams x JOIN grams y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), reached(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT links.b, reached.root FROM reached JOIN links ON links.a = reached.doc_id
+), roots AS (
+  SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id
+), counts AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM sizes JOIN roots USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op1_cover_tree": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_chat_tree": OP6_SQL, "op8_ngram_jaccard": OP8_SQL}
