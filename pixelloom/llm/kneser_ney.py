@@ -100,6 +100,20 @@ def _smallest(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
+def _packed_columns(columns: list[np.ndarray]) -> bytes:
+    """The last column packed, with its length before it; the others, which have no order, as they are."""
+    last = _packed(columns[-1])
+    return b"".join([len(last).to_bytes(8, "little"), last, *[c.astype("<u8").tobytes() for c in columns[:-1]]])
+
+
+def _unpacked_columns(data: bytes) -> np.ndarray:
+    """A row for each column."""
+    data = memoryview(data)
+    end = 8 + int.from_bytes(data[:8], "little")
+    last = _unpacked(data[8:end], "<u8")
+    return np.concatenate([np.frombuffer(data[end:], "<u8").reshape(-1, len(last)), last[None]])
+
+
 _BLOCK_SCHEMA = "kind int, shard int, columns binary, counts binary"
 
 
@@ -122,7 +136,7 @@ def _blocks(kind: int, shard: np.ndarray, columns: list[np.ndarray], values: np.
     edges = np.flatnonzero(np.diff(shard)) + 1
     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)], strict=True):
         if b > a:
-            yield kind, int(shard[a]), _packed(np.concatenate([c[a:b] for c in columns])), _packed(values[:, a:b].astype("<u4"))
+            yield kind, int(shard[a]), _packed_columns([c[a:b] for c in columns]), _packed(values[:, a:b].astype("<u4"))
 
 
 def merged(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +152,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, lis
 
     def whole(kind: int, shard: int) -> tuple[int, int, list[np.ndarray], np.ndarray]:
         width = 4 if CONTEXT < kind < SUMS else 1
-        values = [v.reshape(width, -1) for v in parts[1]]
-        columns = [c.reshape(-1, v.shape[1]) for c, v in zip(parts[0], values, strict=True)]
-        return kind, shard, list(np.concatenate(columns, axis=1)), np.concatenate(values, axis=1)
+        return kind, shard, list(np.concatenate(parts[0], axis=1)), np.concatenate([v.reshape(width, -1) for v in parts[1]], axis=1)
 
     at, parts = None, ([], [])
     for batch in batches:
@@ -149,7 +161,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, lis
                 if at:
                     yield whole(*at)
                 at, parts = (kind, shard), ([], [])
-            parts[0].append(_unpacked(c.as_buffer(), "<u8"))
+            parts[0].append(_unpacked_columns(c.as_buffer()))
             parts[1].append(_unpacked(v.as_buffer(), "<u4"))
     if at:
         yield whole(*at)
