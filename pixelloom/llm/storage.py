@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -31,6 +32,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that no one refers to any more removed.
+
+    Spark removes them once the driver has collected its garbage, which a driver with
+    little to do may put off until the disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, its lineage cut.
 
@@ -44,4 +55,5 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: compact, and columns can be pruned."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
