@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .storage import cut, scratch_path
+from .storage import cut, release, scratch_path
 
 #: Bytes of training text for each shard of the model.
 SHARD_BYTES = 16 << 20
@@ -328,6 +328,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2, shard_bytes:
     for _ in range(order):
         # written: a shard's arrays are made once, and what follows from them goes on
         blocks = cut(blocks.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_reduced(folder, shards, order), _BLOCK_SCHEMA))
+        release(spark)
         for row in blocks.where(f"kind >= {SUMS}").select("kind", "columns").collect():  # six numbers for each kind and shard
             sums[row["kind"] - SUMS] = sums.get(row["kind"] - SUMS, 0) + np.frombuffer(row["columns"], np.int64)
         blocks = blocks.where(f"kind < {SUMS}")
