@@ -218,6 +218,11 @@ def test_movies():
     assert video.facts(binaries.movie(0, 0, 0, "", "", False)) == dict.fromkeys(("make", "model", "software", "width", "height", "created")) and video.facts(JPEG) is None
 
 
+def test_movies_of_late_times():
+    for seconds, created in (((1 << 32) - 1, "2040:02:06 06:28:15"), (1 << 32, "2040:02:06 06:28:16"), (106_680_000_000, "5284:07:20 05:20:00")):
+        assert video.facts(binaries.movie(seconds, 640, 360, "Loom", "Two", True)) | {"software": None} == {"make": "Loom", "model": "Two", "software": None, "width": 640, "height": 360, "created": created}
+
+
 def test_vendor_notes():
     block = bytes([2, 0x41, 0x11, 0x21, 0, 0x21, 56, 0x41, 5, 0, 0x31, 0, 0, 9, 1, 0, 0x20, 0xA4, 68 + 8 * 5 + 3, 68 + 32, 40, 66])
     found = vendors.pentax_settings(block, True)
