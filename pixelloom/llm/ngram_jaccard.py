@@ -4,10 +4,11 @@
    pass counts n-grams in a sketch of fixed size, summed over all texts.
 2. One order holds for all n-grams: by the sketch's count, then by the n-gram, so those
    that many texts share come last. Each class deals out the first ones, as many as a
-   partner may miss and one more; two classes that link always share one of these,
-   whatever the counts are. Where they do and their sizes allow a link, they are joined;
-   the connected classes are a block. Blocks that are too large are cut into a grid of
-   pairs of pieces.
+   partner may miss and ``SHARED`` more; two classes that link always share so many of
+   these, whatever the counts are. Pairs whose sizes allow a link and that do are joined;
+   where an n-gram has more than ``CROWD`` partners for a class, these are joined one to
+   the next without being counted. The connected classes are a block. Blocks that are too
+   large are cut into a grid of pairs of pieces.
 3. In each block, inverted lists answer one T-occurrence query per class: the longest
    lists are set aside, the short ones merged through a heap of their heads that skips
    ids which too few lists can hold, and the candidates probed in the long ones by
@@ -33,11 +34,18 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import connected_components
-from .storage import cut, stored
+from .storage import cut, release, stored
 
 #: Counters of the sketch, and the parts in which tasks hand it over.
 SKETCH = 1 << 20
 SLICES = 64
+#: N-grams that two classes share among their first ones, and a number that all up to it divide.
+SHARED = 3
+ENOUGH = 6
+#: Partners of a class at one n-gram that are paired with it one by one.
+CROWD = 4
+#: Bits that tell which ids have a class in a block; false hits are dropped by the join.
+ID_BITS = 1 << 25
 #: N-grams of a block's pieces that one task holds at once.
 PIECE_GRAMS = 1_000_000
 #: Constant of the DivideSkip paper's rule for the number of long lists.
@@ -53,9 +61,9 @@ def _least(percent: int, n: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix_lengths(percent: int, n: int) -> tuple[int, int]:
-    """N-grams of a set of ``n`` that meet a partner's: a smaller one's, and one's at least as large."""
-    return n - _least(percent, n) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+def prefix_lengths(percent: int, n: int, shared: int = 1) -> tuple[int, int]:
+    """N-grams of a set of ``n`` that meet ``shared`` of a partner's (or all that a link needs): a smaller one's, and one's at least as large."""
+    return min(n, n - _least(percent, n) + shared), min(n, n + (-2 * percent * n // (100 + percent)) + shared)
 
 
 def _digest(grams: np.ndarray) -> bytes:
@@ -120,12 +128,13 @@ def ordered(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return grams[np.argsort(counts << np.uint64(40) | grams >> np.uint64(24), kind="stable")]
 
 
-def _dealt(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
-    """(gram, size, key, other) of each class's first n-grams.
+def _deal(n: int, percent: int, sketch):
+    """mapInArrow over texts: rows (gram, size, key, other) of each class's first n-grams.
 
-    size is twice the set's size, one more where the n-gram is too late for partners that are
-    larger. Of the classes of a batch that agree in n-gram and size the first is dealt out;
-    the rest are joined with it here: rows with ``other``, dealt by key.
+    size is four times the set's size, two more where the n-gram is too late for partners that
+    are larger. Of more than ``CROWD`` classes of a batch that agree in n-gram and size the
+    first is dealt out, its size one more, for all; the rest are joined with it here: rows
+    with ``other``, dealt by key.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +146,10 @@ def _dealt(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
                 if not len(grams) or (key := _key(_digest(grams))) in seen:
                     continue
                 seen.add(key)
-                probed, indexed = prefix_lengths(percent, len(grams))
+                probed, indexed = prefix_lengths(percent, len(grams), SHARED)
                 out.append(ordered(grams, order)[:probed])
-                size = np.full(probed, 2 * len(grams) + 1)
-                size[:indexed] -= 1
+                size = np.full(probed, 4 * len(grams) + 2)
+                size[:indexed] -= 2
                 sizes.append(size)
                 keys.append(np.full(probed, key))
             gram, size, key = np.concatenate(out).view(np.int64), np.concatenate(sizes), np.concatenate(keys)
@@ -148,19 +157,25 @@ def _dealt(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
             gram, size, key = gram[by], size[by], key[by]
             first = np.ones(len(gram), bool)
             first[1:] = (gram[1:] != gram[:-1]) | (size[1:] != size[:-1])
-            leader = key[np.maximum.accumulate(np.where(first, np.arange(len(gram)), 0))] if len(gram) else key
-            yield pa.record_batch([pa.array(gram[first]), pa.array(size[first]), pa.array(key[first]), pa.nulls(int(first.sum()), pa.int64())], ["gram", "size", "key", "other"])
-            pairs = np.unique(np.stack([key[~first], leader[~first]]), axis=1) if not first.all() else np.zeros((2, 0), np.int64)
+            run = np.cumsum(first) - 1
+            crowd = np.bincount(run, minlength=1)[run] > CROWD
+            kept = first | ~crowd
+            yield pa.record_batch([pa.array(gram[kept]), pa.array((size + crowd)[kept]), pa.array(key[kept]), pa.nulls(int(kept.sum()), pa.int64())], ["gram", "size", "key", "other"])
+            leader = key[np.flatnonzero(first)[run]]
+            pairs = np.unique(np.stack([key[~kept], leader[~kept]]), axis=1) if not kept.all() else np.zeros((2, 0), np.int64)
             yield pa.record_batch([pa.array(pairs[0]), pa.array(np.zeros(pairs.shape[1], np.int64)), pa.array(pairs[0]), pa.array(pairs[1])], ["gram", "size", "key", "other"])
 
-    return docs.select("text").mapInArrow(deal, "gram long, size long, key long, other long")
+    return deal
 
 
 def _met(percent: int):
-    """mapInArrow over rows (gram, size, key, other) sorted by gram and size: classes that may link.
+    """mapInArrow over rows (gram, size, key, other) sorted by gram, size and key: (a, b, weight) of classes that may link.
 
-    Each class with the next smaller one whose n-gram is early enough, if the sizes allow a
-    link: between those two in size every other is linked to one of both in its turn.
+    Each class with those before it whose n-gram is early enough, if the sizes allow a link;
+    weights of a pair add up to ``ENOUGH`` where it shares as many n-grams as a link needs,
+    ``SHARED`` at most. A class with more than ``CROWD`` such partners at an n-gram joins
+    them all, one to the next, with all of ``ENOUGH``: so no count of theirs is needed. As
+    partners of a later class are partners of this one, too, those are joined already.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,23 +183,60 @@ def _met(percent: int):
         for batch in batches:
             rows = [batch.column(i).to_numpy() for i in range(3)]
             done = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-            links = [np.stack([rows[2][done], batch.column(3).filter(pa.array(done)).to_numpy()])]
+            links = [np.stack([rows[2][done], batch.column(3).filter(pa.array(done)).to_numpy(), np.full(int(done.sum()), ENOUGH)])]
             gram, size, key = (np.concatenate([h, r[~done]]) for h, r in zip(held, rows, strict=True))
             if len(gram):
-                at = np.arange(len(gram))
-                early = np.maximum.accumulate(np.where(size & 1, -1, at))
-                before = np.concatenate([[-1], early[:-1]])
-                near = (before >= 0) & (gram[before] == gram) & (100 * (size[before] >> 1) >= percent * (size >> 1)) & (key[before] != key)
-                links.append(np.stack([key[near], key[before[near]]]))
-                last = early[-1]
-                held = [x[last : last + 1].copy() if last >= 0 else x[:0] for x in (gram, size, key)]
-            found = np.concatenate(links, axis=1)
-            found = np.unique(np.stack([found.max(axis=0), found.min(axis=0)]), axis=1) if found.size else found
-            yield pa.record_batch([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+                fresh = np.arange(len(gram)) >= len(held[0])
+                other = np.ones(len(gram), bool)  # a class that several tasks dealt out counts once
+                other[1:] = (gram[1:] != gram[:-1]) | (size[1:] != size[:-1]) | (key[1:] != key[:-1])
+                gram, size, key, fresh = gram[other], size[other], key[other], fresh[other]
+                number = np.cumsum(np.concatenate([[0], gram[1:] != gram[:-1]])) << 32
+                n, early, crowd = size >> 2, np.flatnonzero(size & 2 == 0), size & 1
+                high = np.searchsorted(early, np.arange(len(gram)))
+                low = np.minimum(high, np.searchsorted((number + n)[early], number - (-percent * n // 100)))
+                weight = np.concatenate([[0], np.cumsum(1 + CROWD * crowd[early])])
+                many = fresh & (high > low) & ((weight[high] - weight[low] > CROWD) | (crowd == 1))
+                length = np.where(fresh & ~many, high - low, 0)
+                me = np.repeat(np.arange(len(gram)), length)
+                it = early[np.repeat(low - (np.cumsum(length) - length), length) + np.arange(len(me))]
+                need = np.minimum(SHARED, -(-percent * (n[me] + n[it]) // (100 + percent)))
+                links.append(np.stack([key[me], key[it], ENOUGH // np.maximum(1, need)]))
+                links.append(np.stack([key[many], key[early[high[many] - 1]], np.full(int(many.sum()), ENOUGH)]))
+                chained = np.zeros(len(early) + 1, np.int64)
+                np.add.at(chained, low[many], 1)
+                np.add.at(chained, high[many] - 1, -1)
+                chained = np.flatnonzero(np.cumsum(chained)[:-1])
+                links.append(np.stack([key[early[chained]], key[early[chained + 1]], np.full(len(chained), ENOUGH)]))
+                last = early[number[early] == number[-1]][-CROWD - 1 :]
+                last = np.union1d(last, [len(gram) - 1])
+                held = [x[last] for x in (gram, size, key)]
+            a, b, weight = np.concatenate(links, axis=1)
+            a, b, weight = (x[a != b] for x in (np.maximum(a, b), np.minimum(a, b), weight))
+            by = np.lexsort((b, a))
+            a, b, weight = a[by], b[by], weight[by]
+            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            weight = np.minimum(ENOUGH, np.add.reduceat(weight, at)) if len(at) else weight
+            yield pa.record_batch([pa.array(a[at]), pa.array(b[at]), pa.array(weight, pa.int32())], ["a", "b", "weight"])
 
     return run
 
 
+def _candidates(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
+    """(a, b): keys of classes whose components hold all links."""
+    dealt = docs.select("text").mapInArrow(_deal(n, percent, sketch), "gram long, size long, key long, other long")
+    met = dealt.repartition("gram").sortWithinPartitions("gram", "size", "key").mapInArrow(_met(percent), "a long, b long, weight int")
+    return met.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= ENOUGH).select("a", "b")
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """``ID_BITS`` bits, set at the slots of ``ids``, whatever their number."""
+    slots = ids.select(F.expr("slot div 32768").alias("part"), F.expr("slot % 32768").alias("at")).repartition("part")
+    bits = np.zeros((ID_BITS >> 15, 4096), np.uint8)
+    for row in slots.groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.reshape(-1)
+
+
 class Lists:
     """Inverted lists over sets that are ordered by size."""
 
@@ -355,20 +407,26 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = spark.sparkContext.broadcast(_summed(found))
     members = found.where("slice IS NULL").select("id", "mark", "n", "digest", "key")
     classes = stored(members.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("key").alias("key")), "jaccard-classes")
-    met = cut(_dealt(read, n, percent, sketch).repartition("gram").sortWithinPartitions("gram", "size").mapInArrow(_met(percent), "a long, b long").distinct())
+    met = cut(_candidates(read, n, percent, sketch))
+    release(spark)
     blocks = connected_components(met, "a", "b")
     survivors = stored(classes.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("block")), "key").select("id", "key", "copies", "n", "block"), "jaccard-blocks")
     weights = stored(survivors.groupBy("block").agg(F.sum("n").alias("grams"), F.count("*").alias("rows")).where("rows > 1").select("block", F.ceil(F.col("grams") / F.lit(PIECE_GRAMS)).cast("int").alias("pieces")), "jaccard-pieces")
     survivors = survivors.join(weights, "block").withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int"))
 
+    slot = F.pmod(F.xxhash64("id"), F.lit(ID_BITS)).alias("slot")
+    bits = spark.sparkContext.broadcast(_bits(survivors.select(slot)))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(wordhash.gram_sets(batch.column(5), n))
-            own = pa.array([_key(_digest(g)) == key for g, key in zip(found, batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.record_batch([*batch.columns[:5], pa.array([g.tobytes() for g in found], pa.binary())], ["block", "pieces", "piece", "key", "copies", "grams"]).filter(own)
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1))
+            found = list(wordhash.gram_sets(batch.column(1), n))
+            yield pa.record_batch([batch.column(0), pa.array([_key(_digest(g)) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], ["id", "key", "grams"])
 
     # merge join: the survivors grow with the texts, so they are never broadcast
-    with_sets = read.join(survivors.hint("merge"), "id").select("block", "pieces", "piece", "key", "copies", "text").mapInArrow(sets, "block long, pieces int, piece int, key long, copies long, grams binary")
+    of_texts = read.select("id", "text", slot).mapInArrow(sets, "id long, key long, grams binary")
+    with_sets = of_texts.join(survivors.hint("merge"), ["id", "key"]).select("block", "pieces", "piece", "key", "copies", "grams")
     cells = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("block", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "key", "copies", "grams")
     found = cut(cells.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_link_groups(percent), "key long, root long, links long"))
     roots = connected_components(found, "key", "root").select(F.col("node").alias("key"), "component")

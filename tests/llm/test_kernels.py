@@ -2,6 +2,7 @@
 
 import random
 import re
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,46 @@ def test_prefixes_of_linked_sets_meet(size):
             assert len(np.intersect1d(ngram_jaccard.ordered(small, sketch)[:indexed], ngram_jaccard.ordered(large, sketch)[:probed]))
 
 
+def test_classes_meet_where_they_may_link_and_by_no_single_phrase():
+    rng = np.random.default_rng(12)
+    made = lambda n: [f"w{v}" for v in rng.integers(0, 10**6, n)]
+    texts, hot = [], made(60)
+    for i in range(60):  # a phrase of six words is common to each and the next: two n-grams
+        texts.append(made(48) + made(6) if not i else texts[-1][-6:] + made(48))
+    for n in (1, 2, 5, 6, 7, 9, 20, 70):  # changed copies
+        base = made(n)
+        texts += [base] + [[w if rng.random() > 0.02 else "x" for w in base] + made(k % 2) for k in range(7)]
+    texts += [hot + made(int(k)) for k in rng.integers(0, 20, 90)]  # many that share a passage, many of one size
+    sketch = types.SimpleNamespace(value=np.zeros(ngram_jaccard.SKETCH, np.uint32))
+    order = rng.permutation(len(texts))
+    rows = []
+    for part in np.array_split(np.append(order, order[:30]), 4):  # some twice
+        for batch in ngram_jaccard._deal(5, 80, sketch)(iter([pa.record_batch([pa.array([" ".join(texts[i]) for i in part])], ["text"])])):
+            rows += zip(*[c.to_pylist() for c in batch.columns], strict=True)
+    rows.sort(key=lambda r: r[:3])
+    cuts = [0, *sorted(rng.choice(len(rows), 300, replace=False).tolist()), len(rows)]
+    batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[a:b], strict=True)], ["gram", "size", "key", "other"]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    weights = {}
+    for found in ngram_jaccard._met(80)(iter(batches)):
+        for a, b, weight in zip(*[c.to_pylist() for c in found.columns], strict=True):
+            weights[a, b] = weights.get((a, b), 0) + weight
+    sets = list(wordhash.gram_sets(pa.array([" ".join(t) for t in texts]), 5))
+    keys = [ngram_jaccard._key(ngram_jaccard._digest(s)) for s in sets]
+    label = {k: k for k in keys}
+    edges = [e for e, weight in weights.items() if weight >= ngram_jaccard.ENOUGH]
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    linked = 0
+    for i, one in enumerate(sets):
+        for j in range(i):
+            common = len(np.intersect1d(one, sets[j]))
+            if 100 * common >= 80 * (len(one) + len(sets[j]) - common):
+                linked += 1
+                assert label[keys[i]] == label[keys[j]]
+    assert linked > 1000 and len({label[k] for k in keys[:60]}) == 60
+
+
 def test_blocks_and_grids_link_alike():
     rng = np.random.default_rng(4)
     base = np.unique(rng.integers(0, 1 << 40, 60).astype(np.uint64))
