@@ -36,9 +36,11 @@ def release(spark: SparkSession) -> None:
     """Have the shuffle files of plans that no one refers to any more removed.
 
     Spark removes them once the driver has collected its garbage, which a driver with
-    little to do may put off until the disks are full.
+    little to do may put off until the disks are full. The listeners' threads hold the
+    plan of the last query until they are told of another: so there is one more, without a job.
     """
     gc.collect()
+    spark.sql("SELECT 1").collect()
     spark.sparkContext._jvm.System.gc()
 
 
