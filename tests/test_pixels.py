@@ -6,6 +6,7 @@ import pytest
 from pixelloom.functions import kernels
 from pixelloom.functions.codecs.base import CodecError, image
 from pixelloom.operators import pixels as P
+from pixelloom.plans.pixel_queries import QUERIES
 
 SCHEMA = "image_id long, w int, h int, y int, x int, r int, g int, b int, a int"
 
@@ -94,6 +95,15 @@ def test_composite_broadcasts_no_pixels(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["gray_src"])
+def test_composite_queries_broadcast_no_pixels(spark, tmp_path, name):
+    spark.range(9).selectExpr("id AS p_partkey", "CAST(id AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES[f"px_composite_{name}"](spark, str(tmp_path))
+    assert len(df.collect()) == sum((4 + k) * (3 + k) for k in range(9))
+    plan = df._jdf.queryExecution().executedPlan().toString()  # as it ran: sizes met on the way make no broadcast of it either
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_bilinear_goldens(spark):
     source = [[(255, 0, 0, 0), (0, 0, 255, 255)]]
     expected = [[(0, 0, 0, 0), (0, 0, 255, 128), (0, 0, 255, 255)]]
