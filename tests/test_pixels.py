@@ -95,7 +95,7 @@ def test_composite_broadcasts_no_pixels(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["gray_src", "opaque", "clipped"])
+@pytest.mark.parametrize("name", ["gray_src", "opaque", "clipped", "opacity192"])
 def test_composite_queries_broadcast_no_pixels(spark, tmp_path, name):
     spark.range(9).selectExpr("id AS p_partkey", "CAST(id AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
     df = QUERIES[f"px_composite_{name}"](spark, str(tmp_path))
